@@ -108,15 +108,23 @@ def quality_targets(columns: DataFrame) -> DataFrame:
     return columns.join(pairs.join(known, "quality_for", "left_semi"), "column", "left")
 
 
-def column_dictionary(coverage: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Columns with official text, quality target and coverage."""
+def column_dictionary(
+    coverage: DataFrame, descriptions: DataFrame, archives: Column | None = None
+) -> DataFrame:
+    """Columns with official text, quality target and coverage.
+
+    ``archives`` is the number of selected archives when it includes unreadable ones.
+    """
     official = descriptions.select(F.col("name").alias("column"), "description")
     joined = quality_targets(coverage.select("column")).join(coverage, "column").join(
         official, "column", "left"
     )
+    share = F.col("archive_percentage")
+    if archives is not None:
+        share = values.percentage(F.col("archive_count"), archives)
     return joined.select(
         "column", "description", F.col("description").isNotNull().alias("documented"),
-        "quality_for", "archive_count", "archive_percentage",
+        "quality_for", "archive_count", share.alias("archive_percentage"),
     )
 
 
