@@ -93,7 +93,7 @@ RAW_COLUMNS = ("NUM_POSTE", "NOM_USUEL", "LAT", "LON", "ALTI", "AAAAMMJJHH", "T"
 HEADERS = """
 SELECT concat('A', cast(p_partkey AS varchar(20)), '.csv.gz') AS source_file,
        cast(1950 + p_size AS int) AS period_start, cast(1959 + p_size AS int) AS period_end,
-       cast(p_retailprice * 1e2 AS bigint) AS compressed_size,
+       cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) AS compressed_size,
        {list}('NUM_POSTE', 'AAAAMMJJHH', upper(p_type), concat('Q', upper(p_type)),
              concat('QX', cast(p_size % 10 AS varchar(20)))) AS columns
 FROM {part}
@@ -105,7 +105,7 @@ SELECT {DEPARTMENT.format('s_suppkey')} AS department,
        concat('F', cast(s_suppkey AS varchar(20)), '.csv.gz') AS filename,
        cast(1950 + s_suppkey % 60 AS bigint) AS period_start,
        cast(1959 + s_suppkey % 60 AS bigint) AS period_end,
-       cast(abs(s_acctbal) * 1e2 AS bigint) AS size, s_suppkey * 1000000 AS mtime_ns,
+       cast(floor(abs(s_acctbal) * 1e2 + 5e-1) AS bigint) AS size, s_suppkey * 1000000 AS mtime_ns,
        concat('sha', cast(s_suppkey AS varchar(20))) AS sha256
 FROM {{supplier}}
 """
@@ -115,7 +115,7 @@ SELECT {DEPARTMENT.format('s_suppkey')} AS department,
               cast(s_suppkey AS varchar(20)), '.csv.gz') AS filename,
        cast(1950 + s_suppkey % 60 AS bigint) AS period_start,
        cast(1959 + s_suppkey % 60 AS bigint) AS period_end,
-       cast(abs(s_acctbal) * 1e2 AS bigint) AS size, s_suppkey * 1000000 AS mtime_ns,
+       cast(floor(abs(s_acctbal) * 1e2 + 5e-1) AS bigint) AS size, s_suppkey * 1000000 AS mtime_ns,
        concat(CASE WHEN s_suppkey % 13 = 0 THEN 'old' ELSE 'sha' END,
               cast(s_suppkey AS varchar(20))) AS sha256
 FROM {{supplier}}
@@ -137,28 +137,28 @@ SELECT concat('id', cast(p_partkey AS varchar(20))) AS id,
        CASE p_partkey % 5 WHEN 0 THEN 'csv' ELSE 'csv.gz' END AS format,
        CASE p_partkey % 9 WHEN 0 THEN 'documentation' ELSE 'main' END AS type,
        cast(NULL AS varchar(20)) AS last_modified,
-       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE cast(p_retailprice * 1e2 AS bigint) END AS filesize
+       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) END AS filesize
 FROM {part}
 """
 CATALOG_FILES = """
 SELECT concat('R', cast(p_partkey AS varchar(20))) AS filename, p_partkey,
-       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE cast(p_retailprice * 1e2 AS bigint) END AS expected_size
+       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) END AS expected_size
 FROM {part}
 """
 LOCAL_FILES = """
 SELECT concat(CASE WHEN p_partkey % 6 = 0 THEN 'X' ELSE 'R' END, cast(p_partkey AS varchar(20))) AS filename,
-       cast(p_retailprice * 1e2 AS bigint) + CASE WHEN p_partkey % 7 < 2 THEN 5 ELSE 0 END AS size
+       cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) + CASE WHEN p_partkey % 7 < 2 THEN 5 ELSE 0 END AS size
 FROM {part}
 """
 PARTIAL_FILES = """
 SELECT concat(CASE WHEN p_partkey % 4 = 0 THEN 'R' ELSE 'X' END, cast(p_partkey AS varchar(20))) AS filename,
-       cast(p_retailprice * 1e2 AS bigint) AS size
+       cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) AS size
 FROM {part}
 """
 SERVER_SIZES = """
 SELECT concat('R', cast(p_partkey AS varchar(20))) AS filename,
-       CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN cast(p_retailprice * 1e2 AS bigint) + 5
-            ELSE cast(p_retailprice * 1e2 AS bigint) + 9 END AS server_size,
+       CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) + 5
+            ELSE cast(floor(p_retailprice * 1e2 + 5e-1) AS bigint) + 9 END AS server_size,
        CASE WHEN p_partkey % 6 = 3 THEN 'timeout' ELSE NULL END AS remote_error
 FROM {part}
 """
