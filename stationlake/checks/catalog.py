@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationlake.checks import observations, places, profiles, registry, scalars  # noqa: F401
+from stationlake.checks import jobs, observations, places, profiles, registry, scalars  # noqa: F401
 
 
 def queries():

@@ -89,6 +89,26 @@ FROM {{events}}
 """
 RAW_COLUMNS = ("NUM_POSTE", "NOM_USUEL", "LAT", "LON", "ALTI", "AAAAMMJJHH", "T", "QT", "RR1", "QRR1")
 
+# One row per station-hour, as archives hold them that pass a publication.
+STATION_HOURS = """
+SELECT concat('H_44', CASE user_id % 3 WHEN 0 THEN '_2010-2024' WHEN 1 THEN '_previous-2020-2024'
+              ELSE '_latest-2024-2026' END, '.csv.gz') AS source_file,
+       concat('44', lpad(cast(user_id AS varchar(20)), 6, '0')) AS NUM_POSTE,
+       concat('STATION ', cast(user_id AS varchar(20))) AS NOM_USUEL,
+       cast({lat} AS varchar(20)) AS LAT, cast({lon} AS varchar(20)) AS LON,
+       cast(10 + user_id % 7 AS varchar(20)) AS ALTI, {{raw_time}} AS AAAAMMJJHH,
+       cast(max(value) AS varchar(20)) AS T, cast(count(*) AS varchar(20)) AS QT,
+       CASE WHEN min(event_id) % 3 = 0 THEN '' ELSE cast(min(value) AS varchar(20)) END AS RR1, '1' AS QRR1,
+       CASE WHEN min(event_id) % 5 = 0 THEN '8.5' ELSE '' END AS T10,
+       CASE WHEN min(event_id) % 7 = 0 THEN '11.25' ELSE '' END AS TMER,
+       CASE WHEN min(event_id) % 11 = 0 THEN '2' ELSE '' END AS NEIGETOT
+FROM {{events}} GROUP BY user_id, {{raw_time}}
+""".format(lat=USER_LAT, lon=USER_LON)
+STATION_HOUR_COLUMNS = (
+    "NUM_POSTE", "NOM_USUEL", "LAT", "LON", "ALTI", "AAAAMMJJHH", "T", "QT", "RR1", "QRR1", "T10", "TMER",
+    "NEIGETOT",
+)
+
 # Headers of archives: one per part, with columns that differ by type and size.
 HEADERS = """
 SELECT concat('A', cast(p_partkey AS varchar(20)), '.csv.gz') AS source_file,
@@ -205,6 +225,7 @@ VIEWS = {
     "obs": (OBS, "ts"),
     "hist": (HIST, f"({HIST_TIME})"),
     "raw": (RAW, None),
+    "station_hours": (STATION_HOURS, None),
     "headers": (HEADERS, None),
     "files_now": (FILES_NOW, None),
     "files_before": (FILES_BEFORE, None),
