@@ -120,9 +120,7 @@ _PARSED = "try_strptime(AAAAMMJJHH, '%Y%m%d%H')"
     ("raw",),
 )
 def require_identity(t):
-    rows = t.raw
-    flagged = rows.select("source_file", "source_row_number", ingest.row_problem(rows).alias("problem"))
-    return flagged.where("problem is not null")
+    return ingest.row_problems(t.raw)
 
 
 def _with_extensions(rows):

@@ -16,6 +16,7 @@ from stationlake.schema import (
     NETWORK_CATEGORY,
     SPARK_TYPES,
     TABLE_METRICS,
+    UNSIGNED_LIMITS,
     source_type,
     table_columns,
 )
@@ -86,44 +87,94 @@ def files_of_years(archives: DataFrame, years: Iterable[int]) -> DataFrame:
     return archives.where(F.arrays_overlap(F.sequence("period_start", "period_end"), wanted))
 
 
-def row_problem(rows: DataFrame, years: Iterable[int] | None = None) -> Column:
-    """First violated rule of a row as text; NULL for a good row.
+def _metric_columns(rows: DataFrame) -> list[str]:
+    return [c for table in TABLE_METRICS for c in table_columns(table) if c in rows.columns]
 
-    Layout, identity and time are checked on every row, metric values only in
-    the affected years.
+
+def _is_bad(value: Column, limit: Column | None) -> Column:
+    """Populated text that is no number or, with a limit, no whole number up to it."""
+    number = values.parse_number(value)
+    if limit is None:
+        return (value != "") & number.isNull()
+    whole = number.try_cast("int")
+    return (value != "") & (whole.isNull() | (whole < 0) | (whole > limit))
+
+
+def _any_bad(texts: Column, limit: Column | None) -> Column:
+    return F.exists(texts, lambda value: _is_bad(value, limit))
+
+
+def has_bad_metric(rows: DataFrame) -> Column:
+    """Whether any metric of a row fails to convert.
+
+    One array per type keeps the plan small: a condition per column would make
+    generated code for the near two hundred columns too large to compile.
     """
-    problem = F.when(F.col("is_malformed"), F.lit("wrong number of fields"))
+    found = F.lit(False)
+    for kind in SPARK_TYPES:
+        names = [F.col(c) for c in _metric_columns(rows) if source_type(c) == kind]
+        limit = F.lit(UNSIGNED_LIMITS[kind]) if kind in UNSIGNED_LIMITS else None
+        if names:
+            found = found | F.coalesce(_any_bad(F.array(*names), limit), F.lit(False))
+    return found
+
+
+def first_bad_metric(rows: DataFrame) -> Column:
+    """``invalid NAME=value`` of the first metric that fails to convert."""
+    names = _metric_columns(rows)
+    if not names:
+        return F.lit(None).cast("string")
+    no_limit = -1
+    limits = [UNSIGNED_LIMITS.get(source_type(c), no_limit) for c in names]
+    entries = F.arrays_zip(
+        F.lit(names).alias("name"),
+        F.array(*[F.col(c) for c in names]).alias("value"),
+        F.lit(limits).alias("limit"),
+    )
+
+    def broken(entry: Column) -> Column:
+        value, limit = entry["value"], entry["limit"]
+        return F.when(limit == no_limit, _is_bad(value, None)).otherwise(_is_bad(value, limit))
+
+    first = F.get(F.filter(entries, broken), F.lit(0))
+    return F.concat(F.lit("invalid "), first["name"], F.lit("="), first["value"])
+
+
+def _row_rules(rows: DataFrame) -> list[tuple[Column, Column]]:
+    """Layout, identity and time rules as (violated, reason) pairs, in order."""
+    rules = [(F.col("is_malformed"), F.lit("wrong number of fields"))]
     for name in IDENTITY_COLUMNS:
-        problem = problem.when(
-            ~values.is_populated(source_column(rows, name)), F.lit(f"missing required {name}")
-        )
+        rules.append((~values.is_populated(source_column(rows, name)), F.lit(f"missing required {name}")))
     raw = F.col("AAAAMMJJHH")
-    problem = problem.when(
-        ~timeops.is_valid_time(raw), F.concat(F.lit("invalid AAAAMMJJHH="), raw)
-    )
+    rules.append((~timeops.is_valid_time(raw), F.concat(F.lit("invalid AAAAMMJJHH="), raw)))
     for name in ("LAT", "LON", "ALTI"):
-        problem = problem.when(
-            values.parse_number(F.col(name)).isNull(), F.concat(F.lit(f"invalid {name}="), F.col(name))
-        )
-    bad = F.lit(None).cast("string")
-    for table in TABLE_METRICS:
-        for name in table_columns(table):
-            if name in rows.columns:
-                bad = F.coalesce(
-                    bad,
-                    F.when(
-                        values.is_bad_metric(F.col(name), name),
-                        F.concat(F.lit(f"invalid {name}="), F.col(name)),
-                    ),
-                )
+        value = F.col(name)
+        rules.append((values.parse_number(value).isNull(), F.concat(F.lit(f"invalid {name}="), value)))
+    return rules
+
+
+def row_problems(rows: DataFrame, years: Iterable[int] | None = None) -> DataFrame:
+    """Rows that break a rule, with the first reason.
+
+    Layout, identity and time are checked on every row, metric values only in
+    the affected years.  Reasons are worded for the flagged rows alone.
+    """
+    rules = _row_rules(rows)
+    violated = F.lit(False)
+    for broken, _ in rules:
+        violated = violated | broken
     affected = F.lit(True) if years is None else utc_year().isin(sorted(years))
-    return problem.when(affected & bad.isNotNull(), bad)
+    flagged = rows.where(violated | (affected & has_bad_metric(rows)))
+    reason = F.when(*rules[0])
+    for rule in rules[1:]:
+        reason = reason.when(*rule)
+    reason = reason.otherwise(first_bad_metric(rows))
+    return flagged.select("source_file", "source_row_number", reason.alias("problem"))
 
 
 def first_problem(rows: DataFrame, years: Iterable[int] | None = None) -> str | None:
     """``file:row: reason`` of the first violation in file order, if any."""
-    flagged = rows.select("source_file", "source_row_number", row_problem(rows, years).alias("problem"))
-    found = flagged.where(F.col("problem").isNotNull()).orderBy("source_file", "source_row_number").take(1)
+    found = row_problems(rows, years).orderBy("source_file", "source_row_number").take(1)
     if not found:
         return None
     return f"{found[0].source_file}:{found[0].source_row_number}: {found[0].problem}"

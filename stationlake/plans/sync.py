@@ -39,6 +39,13 @@ MANIFEST_FIELDS = (
 )
 
 
+EMPTY_ROWS = (
+    "source_file string, source_row_number bigint, is_malformed boolean, "
+    + ", ".join(f"{name} string" for name in IDENTITY_COLUMNS)
+    + ", department string, period_start int, period_end int, source_sha256 string"
+)
+
+
 def metropolitan_code(department: str) -> str:
     """Normalised code, or an error for departments with other time rules."""
     code = department.upper()
@@ -109,7 +116,10 @@ def stage_sources(spark: SparkSession, plan: SyncPlan, folder: str) -> DataFrame
     """Text rows of the archives that overlap the affected years, with their digests."""
     paths = {row.filename: row.path for row in plan.sources}
     wanted = ingest.files_of_years(_source_frame(spark, plan.sources), plan.years).select("filename")
-    chosen = sorted(row.filename for row in wanted.collect())
+    chosen = {row.filename for row in wanted.collect()}
+    if not chosen:
+        # Only removals: the affected years end up empty.
+        return spark.createDataFrame([], EMPTY_ROWS)
     listed = spark.createDataFrame(
         [
             (paths[s.filename], s.filename, s.department, s.period_start, s.period_end, s.size, s.mtime_ns)

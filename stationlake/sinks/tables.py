@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.schema import fact_schema
+from stationlake.session import settings
 from stationlake.sources.facts import table_path
 from stationlake.sources.files import child_folders, delete, exists, rename
 
-ROWS_PER_FILE = 20_000_000
-STATION_ORDER = ("department", "year", "NUM_POSTE", "observation_time_utc")
+FILE_BYTES = "256m"
+PARTITION = ("department", "year")
+STATION_ORDER = (*PARTITION, "NUM_POSTE", "observation_time_utc")
 
 
 def arrange_facts(facts: DataFrame) -> DataFrame:
-    """Facts cut into even ranges by department, year, station and time.
+    """Facts gathered by department and year and sorted by station and time.
 
-    Ranges include station and time, so a department-year that holds much of the
-    data spreads over many tasks, and row groups stay narrow in station and time.
+    The rebalance hint lets Spark merge small partitions and split a
+    department-year that holds much of the data into several tasks and files.
     """
-    return facts.repartitionByRange(*STATION_ORDER).sortWithinPartitions(*STATION_ORDER)
+    keys = [F.col(name) for name in PARTITION]
+    return facts.hint("rebalance", *keys).sortWithinPartitions(*STATION_ORDER)
 
 
 def replace_fact_partitions(facts: DataFrame, root: str, table: str, department: str, years: list[int]) -> None:
@@ -31,15 +34,15 @@ def replace_fact_partitions(facts: DataFrame, root: str, table: str, department:
     spark = facts.sparkSession
     path = table_path(root, table)
     columns = [field.name for field in fact_schema(table).fields]
-    (
-        arrange_facts(facts.select(*columns))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy("department", "year")
-        .parquet(path)
-    )
+    with settings(spark, adaptive_advisoryPartitionSizeInBytes=FILE_BYTES):
+        (
+            arrange_facts(facts.select(*columns))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
+            .partitionBy(*PARTITION)
+            .parquet(path)
+        )
     present = {row.year for row in facts.select("year").distinct().collect()}
     for year in sorted(set(years) - present):
         folder = f"{path}/department={department}/year={year}"

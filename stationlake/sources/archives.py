@@ -6,7 +6,6 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stationlake.functions import values
 from stationlake.operators.selection import periods_overlap
+from stationlake.session import settings
 from stationlake.sources.files import list_files, open_stream
 
 PROBE_BYTES = 65_536
@@ -138,16 +138,9 @@ def fingerprint_archives(archives: DataFrame, previous: DataFrame | None = None)
     return known.where(F.col("sha256").isNotNull()).unionByName(hashed)
 
 
-@contextmanager
 def one_file_per_task(spark: SparkSession):
     """Give every unsplittable archive its own task, so lines count from 1 in each."""
-    key = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return settings(spark, files_openCostInBytes=spark.conf.get("spark.sql.files.maxPartitionBytes"))
 
 
 def _text_rows(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, columns: list[str]) -> DataFrame:
