@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stationlake.checks.observations import OVERVIEW_SQL
 from stationlake.checks.registry import query, rounded
 from stationlake.operators import coverage, spatial
+from stationlake.session import stored
 
 STEP = 0.1
 EDGES = """
@@ -83,7 +84,9 @@ def _means(t):
 
 
 def _sites(t):
-    return _means(t).select("LAT", "LON", F.col("period_mean_temperature").alias("value"))
+    """Station means, stored once because a neighbour search uses them twice."""
+    means = _means(t).select("LAT", "LON", F.col("period_mean_temperature").alias("value"))
+    return stored(means, "stations")
 
 
 @query(

@@ -111,8 +111,12 @@ def historical_daily(facts: DataFrame, selection: Selection) -> DataFrame:
     return rows.groupBy("NUM_POSTE", selection.day.alias("historical_date")).agg(*columns)
 
 
-def _envelope(metric: str, low: str, high: str, total: str, keep: Column, day: Column) -> list[Column]:
-    """Envelope aggregates over station-days for which ``keep`` holds."""
+def _envelope(metric: str, low: str, high: str, total: str, keep: Column) -> list[Column]:
+    """Envelope aggregates over station-days for which ``keep`` holds.
+
+    A station has one row per day, so the days of one calendar day all lie in
+    different years: counting them counts the years, without a distinct count.
+    """
 
     def on(column: str) -> Column:
         return F.when(keep, F.col(column))
@@ -126,17 +130,18 @@ def _envelope(metric: str, low: str, high: str, total: str, keep: Column, day: C
         "absolute_minimum", "absolute_maximum", "average_minimum", "average_maximum",
         "historical_average_total",
     )
+    days = F.count(F.when(keep, 1))
     return [
         *[column.alias(name) for column, name in zip(shape, names)],
-        F.count(F.when(keep, 1)).alias("historical_days"),
-        F.count_distinct(F.when(keep, F.year(day))).alias("historical_years"),
+        days.alias("historical_days"),
+        days.alias("historical_years"),
     ]
 
 
 def historical_envelope(daily: DataFrame, metric: str) -> DataFrame:
     """Extremes and means of the baseline per station and calendar day."""
     aggregates = _envelope(
-        metric, "daily_minimum", "daily_maximum", "daily_total", F.lit(True), F.col("historical_date")
+        metric, "daily_minimum", "daily_maximum", "daily_total", F.lit(True)
     )
     key = timeops.month_day(F.col("historical_date")).alias("month_day")
     return daily.groupBy("NUM_POSTE", key).agg(*aggregates)
@@ -191,7 +196,7 @@ def historical_comparison(facts: DataFrame, selection: Selection) -> DataFrame:
         station_days(rows, selection)
         .groupBy("NUM_POSTE", timeops.month_day(day).alias("month_day"))
         .agg(
-            *_envelope(selection.metric, "minimum", "maximum", "total", keep, day),
+            *_envelope(selection.metric, "minimum", "maximum", "total", keep),
             F.collect_list(F.when(inside, picked)).alias("selected_days"),
             latest("NOM_USUEL", "last_time").alias("name"),
             F.max("last_time").alias("last_time"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions.spatial import EARTH_RADIUS_KM, haversine_km
+from stationlake.session import stored
 
 GRID_DEGREES = 0.05
 NEIGHBOURS = 8
@@ -292,12 +293,15 @@ def temperature_surface(
     """
     values = stations.select("LAT", "LON", F.col("period_mean_temperature").alias("value"))
     usable = values.where("LAT is not null and LON is not null and value is not null")
-    enough = usable.limit(MINIMUM_STATIONS).agg(F.count("*")).scalar() >= MINIMUM_STATIONS
+    # Both sides are used more than once below and far smaller than their sources.
+    sites = stored(usable, "surface-stations")
+    if len(sites.take(MINIMUM_STATIONS)) < MINIMUM_STATIONS:
+        return stations.sparkSession.createDataFrame([], "LAT double, LON double, temperature double")
     cells = unique_cells(cells_in_polygons(ring_edges(boundaries), step), step)
-    points = cells.select(
-        F.struct("lat_index", "lon_index").alias("point_id"), "LAT", "LON"
-    ).where(enough)
-    surface = idw_estimate(points, values)
+    points = stored(
+        cells.select(F.struct("lat_index", "lon_index").alias("point_id"), "LAT", "LON"), "surface-points"
+    )
+    surface = idw_estimate(points, sites)
     return surface.where("temperature is not null").select("LAT", "LON", "temperature")
 
 

@@ -119,26 +119,29 @@ def best_station(facts: DataFrame, selection: Selection) -> DataFrame:
 def year_bounds(
     facts: DataFrame, department: str | None = None, time_basis: str = "local"
 ) -> DataFrame:
-    """First and last day of every calendar year with data, newest first."""
+    """First and last day of every calendar year with data per department, newest first."""
     rows = facts if department is None else facts.where(F.col("department") == department)
-    days = rows.select(timeops.day_of(time_basis).alias("day"))
+    days = rows.select("department", timeops.day_of(time_basis).alias("day"))
     return (
-        days.groupBy(F.year("day").alias("observation_year"))
+        days.groupBy("department", F.year("day").alias("observation_year"))
         .agg(F.min("day").alias("first_date"), F.max("day").alias("last_date"))
-        .orderBy(F.desc("observation_year"))
+        .orderBy("department", F.desc("observation_year"))
     )
 
 
 def calendar_ranges(bounds: DataFrame) -> DataFrame:
-    """Selectable range per year: whole years, the newest up to its last day."""
+    """Selectable range per department and year: whole years, the newest up to its last day."""
     years = F.collect_list(F.struct("observation_year", "first_date", "last_date"))
-    # At most one row per calendar year meets here.
-    gathered = bounds.agg(F.max("observation_year").alias("newest_year"), years.alias("years"))
+    # At most one entry per calendar year meets here.
+    gathered = bounds.groupBy("department").agg(
+        F.max("observation_year").alias("newest_year"), years.alias("years")
+    )
     year = F.col("observation_year")
     end = F.when(year == F.col("newest_year"), F.col("last_date")).otherwise(
         F.make_date(year, F.lit(12), F.lit(31))
     )
-    return gathered.select("newest_year", F.inline("years")).select(
+    return gathered.select("department", "newest_year", F.inline("years")).select(
+        "department",
         "observation_year",
         F.make_date(year, F.lit(1), F.lit(1)).alias("start_date"),
         end.alias("end_date"),

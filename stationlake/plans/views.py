@@ -16,6 +16,7 @@ from stationlake.operators.selection import (
     has_observations,
     in_period,
 )
+from stationlake.session import stored
 from stationlake.sinks.reports import export_csv
 
 HOME_DEPARTMENT = "44"
@@ -57,8 +58,11 @@ def overview_view(
     facts: DataFrame, selection: Selection, boundaries: DataFrame, departments: Iterable[str]
 ) -> dict[str, DataFrame]:
     """Station means of all departments and the surface estimated from them."""
-    means = coverage.temperature_overview(
-        facts, selection.start, selection.end, selection.time_basis, selection.quality_mode
+    means = stored(
+        coverage.temperature_overview(
+            facts, selection.start, selection.end, selection.time_basis, selection.quality_mode
+        ),
+        "overview",
     )
     area = spatial.select_boundaries(boundaries, list(departments))
     return {"stations": means, "surface": spatial.temperature_surface(means, area)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job needs for right results.  They are runtime settings, so a
 # session that a cluster handed us can be brought in line after it was built.
@@ -73,3 +73,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("Set spark.checkpoint.dir to a folder shared by all executors")
         root = "/tmp/spark-stationlake"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4()}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    For a small result that a plan uses several times: its source is read once,
+    and a lost executor does not restart the computation behind it.
+    """
+    spark = frame.sparkSession
+    path = shared_folder(spark, purpose)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from stationlake.operators import audits
+from stationlake.operators import audits, series
+from stationlake.operators.selection import Selection
 from stationlake.plans import repair, sync
 from stationlake.schema import fact_schema, table_columns
 from stationlake.sinks import tables
@@ -225,6 +227,25 @@ def test_hot_department_year_spreads_over_files(spark, folder, monkeypatch):
     assert spark.read.parquet(str(folder / "facts/hourly_core")).count() == 40_000
 
 
+def test_selections_prune_partitions_and_row_groups(spark, folder):
+    schema = fact_schema("hourly_core")
+    fixed = {"department": F.lit("44"), "year": F.lit(2024)}
+    row = spark.range(1).select(
+        *[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+    row.write.partitionBy("department", "year").parquet(str(folder / "facts/hourly_core"))
+    facts = spark.read.schema(schema).parquet(str(folder / "facts/hourly_core"))
+    chosen = Selection("T", dt.date(2025, 1, 1), dt.date(2025, 1, 2), department="44", stations=("S",))
+    plan = series.daily_statistics(facts, chosen)._jdf.queryExecution().executedPlan().toString()
+    scan = next(text for text in plan.splitlines() if "FileScan" in text or "BatchScan" in text)
+    partition, pushed = scan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "department" in partition and "year" in partition
+    assert "EqualTo(NUM_POSTE,S)" in pushed or "In(NUM_POSTE" in pushed
+    assert "GreaterThanOrEqual(observation_time_utc" in pushed and "IsNotNull(T)" in pushed
+    read = scan.split("ReadSchema: ")[1]
+    assert "QT" not in read and "U:" not in read and "NOM_USUEL" in read
+
+
 def test_untouched_partitions_feed_dimensions(spark):
     layout = "department string, year int, NUM_POSTE string"
     published = spark.createDataFrame([("44", 2020, "old"), ("44", 2021, "stale")], layout)
