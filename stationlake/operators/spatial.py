@@ -125,23 +125,24 @@ def unique_cells(cells: DataFrame, step: float = GRID_DEGREES) -> DataFrame:
 
 
 # ------------------------------------------------------------- nearest stations
-def _reach(level: Column) -> Column:
-    """Distance in km that a 3x3 block of cells covers around any point."""
-    return F.lit(RADIUS_KM) / F.pow(F.lit(2.0), level)
+# Per level: the distance in km that a 3x3 block covers around any point of its
+# middle cell, the sine of half that angle, and the height of a cell in degrees.
+_REACH = [RADIUS_KM / 2**level for level in range(FINEST_LEVEL + 1)]
+_HALF_SINE = [math.sin(reach / (2 * EARTH_RADIUS_KM)) for reach in _REACH]
+_HEIGHT = [math.degrees(reach / EARTH_RADIUS_KM) * (1 + 1e-9) for reach in _REACH]
 
 
-def _row_height(level: Column) -> Column:
-    return F.degrees(_reach(level) / EARTH_RADIUS_KM) * (1 + 1e-9)
+def _of_level(values: list[float], level: Column) -> Column:
+    return F.get(F.lit(values), level)
 
 
 def _columns_in_row(level: Column, row: Column) -> Column:
     """Number of equal cells around a latitude row, each at least a reach wide
     at the highest latitude of the row and the rows next to it."""
-    height = _row_height(level)
-    south = (row - 1) * height - 90
-    north = (row + 2) * height - 90
-    farthest = F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))
-    ratio = F.sin(_reach(level) / (2 * EARTH_RADIUS_KM)) / F.cos(F.radians(farthest))
+    height = _of_level(_HEIGHT, level)
+    # The middle of the row is nearest the farther of both outer edges.
+    farthest = F.least(F.abs((row + 0.5) * height - 90) + height * 1.5, F.lit(90.0))
+    ratio = _of_level(_HALF_SINE, level) / F.cos(F.radians(farthest))
     width = F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)
     return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
 
@@ -152,29 +153,26 @@ def _column_of(lon: Column, around: Column) -> Column:
 
 
 def _row_of(lat: Column, level: Column) -> Column:
-    return F.floor((lat + 90) / _row_height(level))
+    return F.floor((lat + 90) / _of_level(_HEIGHT, level))
 
 
 def _with_cell(frame: DataFrame) -> DataFrame:
-    """Cell of LAT/LON at the row's ``level``."""
+    """Cell of LAT/LON at the row's ``level``, and the cells around its row."""
     level = F.col("level")
     placed = frame.withColumn("cell_row", _row_of(F.col("LAT"), level))
-    return placed.withColumn(
-        "cell_column", _column_of(F.col("LON"), _columns_in_row(level, F.col("cell_row")))
-    )
+    counted = placed.withColumn("around", _columns_in_row(level, F.col("cell_row")))
+    return counted.withColumn("cell_column", _column_of(F.col("LON"), F.col("around")))
 
 
-def _cell_diameter(level: Column, row: Column) -> Column:
+def _cell_diameter(level: Column, row: Column, around: Column) -> Column:
     """Upper bound in km of the distance between two places in one cell."""
-    height = F.radians(_row_height(level))
-    turn = F.lit(2 * math.pi) / _columns_in_row(level, row)
-    south = row * _row_height(level) - 90
-    north = south + _row_height(level)
-    nearest = F.when((south <= 0) & (north >= 0), F.lit(0.0)).otherwise(
-        F.least(F.abs(south), F.abs(north))
-    )
-    widest = F.cos(F.radians(nearest)) * F.sin(F.least(turn / 2, F.lit(math.pi / 2)))
-    chord = F.pow(F.sin(height / 2), F.lit(2.0)) + widest * widest
+    height = _of_level(_HEIGHT, level)
+    # Latitude of the row that is nearest the equator, where cells are widest.
+    lowest = F.greatest(F.abs((row + 0.5) * height - 90) - height / 2, F.lit(0.0))
+    turn = F.least(F.lit(math.pi) / around, F.lit(math.pi / 2))
+    widest = F.cos(F.radians(lowest)) * F.sin(turn)
+    tallest = F.sin(F.radians(height) / 2)
+    chord = tallest * tallest + widest * widest
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
 
 
@@ -208,10 +206,10 @@ def _search_level(points: DataFrame, sites: DataFrame, key: str, neighbours: int
     """
     crowded = (
         _with_cell(sites.select("LAT", "LON", _levels(1).alias("level")))
-        .groupBy(*_CELL)
+        .groupBy(*_CELL, "around")
         .count()
         .where(F.col("count") >= neighbours)
-        .withColumn("diameter", _cell_diameter(F.col("level"), F.col("cell_row")))
+        .withColumn("diameter", _cell_diameter(F.col("level"), F.col("cell_row"), F.col("around")))
         .select(*_CELL, F.floor(F.log2(F.lit(RADIUS_KM) / F.col("diameter"))).alias("search"))
     )
     tried = _with_cell(points.select(key, "LAT", "LON", _levels(1).alias("level")))
@@ -228,19 +226,18 @@ def nearest_stations(
     ``points`` has ``key``, LAT, LON; ``stations`` has LAT, LON, value.
     """
     sites = station_sites(stations, neighbours)
-    around = F.array(*[F.lit(n) for n in (-1, 0, 1)])
+    offsets = F.array(*[F.lit(n) for n in (-1, 0, 1)])
     located = _search_level(points.select(key, "LAT", "LON"), sites, key, neighbours)
     blocks = located.withColumn("cell_row", _row_of(F.col("LAT"), F.col("level")))
     blocks = blocks.withColumn(
-        "cell_row", F.explode(F.transform(around, lambda n: F.col("cell_row") + n))
+        "cell_row", F.explode(F.transform(offsets, lambda n: F.col("cell_row") + n))
     )
-    width = _columns_in_row(F.col("level"), F.col("cell_row"))
-    blocks = blocks.withColumn("width", width).withColumn(
+    blocks = blocks.withColumn("around", _columns_in_row(F.col("level"), F.col("cell_row"))).withColumn(
         "cell_column",
         F.explode(
             F.array_distinct(
                 F.transform(
-                    around, lambda n: F.pmod(_column_of(F.col("LON"), F.col("width")) + n, F.col("width"))
+                    offsets, lambda n: F.pmod(_column_of(F.col("LON"), F.col("around")) + n, F.col("around"))
                 )
             )
         ),

@@ -12,6 +12,7 @@ from stationlake.operators import audits, series
 from stationlake.operators.selection import Selection
 from stationlake.plans import repair, sync
 from stationlake.schema import fact_schema, table_columns
+from stationlake.session import settings
 from stationlake.sinks import tables
 from stationlake.sources.facts import read_table, register_views
 from stationlake.sources.manifests import manifest_problems, read_manifests
@@ -236,7 +237,8 @@ def test_selections_prune_partitions_and_row_groups(spark, folder):
     row.write.partitionBy("department", "year").parquet(str(folder / "facts/hourly_core"))
     facts = spark.read.schema(schema).parquet(str(folder / "facts/hourly_core"))
     chosen = Selection("T", dt.date(2025, 1, 1), dt.date(2025, 1, 2), department="44", stations=("S",))
-    plan = series.daily_statistics(facts, chosen)._jdf.queryExecution().executedPlan().toString()
+    with settings(spark, maxMetadataStringLength="2000"):
+        plan = series.daily_statistics(facts, chosen)._jdf.queryExecution().executedPlan().toString()
     scan = next(text for text in plan.splitlines() if "FileScan" in text or "BatchScan" in text)
     partition, pushed = scan.split("PartitionFilters: ")[1].split("PushedFilters: ")
     assert "department" in partition and "year" in partition
