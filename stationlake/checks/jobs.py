@@ -7,13 +7,19 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from stationlake.checks.fixtures import RAW_COLUMNS, STATION_HOUR_COLUMNS
+from stationlake.checks.observations import BEST_STATION, _comparison_sql
+from stationlake.checks.places import BOUNDS, EDGES, GRID, INSIDE, SITES, STEP, _estimate_sql, _nearest_sql
 from stationlake.checks.profiles import CONFLICTS, DUPLICATES, GOOD, ISO, TIME
 from stationlake.checks.registry import plain_times, query, rounded
-from stationlake.operators import audits, stations
+from stationlake.operators import audits, profiling, stations
 from stationlake.operators.selection import Selection
 from stationlake.plans import inspection, repair, sync, views
+from stationlake.schema import fact_schema
 from stationlake.session import shared_folder
+from stationlake.sinks.reports import export_csv, report_provenance, write_report
+from stationlake.sinks.tables import replace_fact_partitions
 from stationlake.sources import archives as raw
+from stationlake.sources.boundaries import read_boundaries as read_geojson
 from stationlake.sources.facts import read_table, register_views
 from stationlake.sources.files import child_folders, list_files, rename
 
@@ -407,3 +413,176 @@ def validate_selection(t):
     codes = tuple(row.NUM_POSTE for row in present.select("NUM_POSTE").take(5))
     kept = views.retain_stations(t.hist, chosen, (*codes[:4], "missing"))
     return t.spark.createDataFrame([(code,) for code in kept], "NUM_POSTE string")
+
+
+@query(
+    "time_series_view",
+    f"""
+    WITH best AS ({BEST_STATION.replace("FROM obs", "FROM obs44").strip()})
+    SELECT NUM_POSTE, local_date AS observation_date, min(T) AS value, count(T) AS contributing_count
+    FROM obs WHERE department = '44' AND T IS NOT NULL AND NUM_POSTE IN (SELECT NUM_POSTE FROM best) GROUP BY ALL
+    """.replace("WITH best AS (", "WITH obs44 AS (SELECT * FROM obs WHERE department = '44'), best AS ("),
+    ("obs",),
+)
+def time_series_view(t):
+    """The view shows a user's few stations: here the best one of the department."""
+    whole = Selection("T", dt.date(2024, 1, 1), dt.date(2024, 1, 31), department="44", statistics=("minimum",))
+    best = stations.best_station(t.obs, whole).first().NUM_POSTE
+    chosen = Selection(
+        "T", whole.start, whole.end, department="44", stations=(best,), statistics=("minimum",)
+    )
+    series = views.time_series_view(t.obs, chosen, "daily")["series"]
+    return series.select("NUM_POSTE", "observation_date", "value", "contributing_count")
+
+
+@query(
+    "historical_view",
+    _comparison_sql("T").replace("(QT IS NULL OR QT <> 2)", "T IS NOT NULL"),
+    ("hist",),
+)
+def historical_view(t):
+    chosen = Selection("T", dt.date(1999, 11, 1), dt.date(2000, 12, 31))
+    return rounded(
+        views.historical_view(t.hist, chosen), "selected_average", "average_minimum", "average_maximum"
+    )
+
+
+@query(
+    "overview_view",
+    f"""WITH {EDGES}, {BOUNDS}, {GRID}, {INSIDE}, {SITES},
+        {_nearest_sql('cells', 'lat_index, lon_index')}, {_estimate_sql('lat_index, lon_index')}
+        SELECT 'surface' AS layer, LAT, LON, round(temperature, 4) AS temperature
+        FROM cells JOIN est USING (lat_index, lon_index) WHERE temperature IS NOT NULL
+        UNION ALL SELECT 'stations', LAT, LON, round(period_mean_temperature, 4) FROM means""",
+    ("boundaries", "obs"),
+)
+def overview_view(t):
+    chosen = Selection("T", dt.date(2024, 1, 1), dt.date(2024, 1, 31), quality_mode="exclude_doubtful")
+    areas = t.view("boundaries")
+    layers = views.overview_view(t.obs, chosen, areas, areas.select("code"), 2, STEP)
+    means = layers["stations"].select(
+        F.lit("stations").alias("layer"), "LAT", "LON", F.col("period_mean_temperature").alias("temperature")
+    )
+    surface = layers["surface"].select(F.lit("surface").alias("layer"), "LAT", "LON", "temperature")
+    return rounded(surface.unionByName(means), "temperature", digits=4)
+
+
+# ------------------------------------------------------------ sources and sinks
+@query(
+    "read_boundaries",
+    """SELECT code, nom, region, cast(len(polygons) AS int) AS polygons, cast(len(polygons[1]) AS int) AS rings,
+              polygons[1][2][3][1] AS third_hole_longitude FROM boundaries""",
+    ("boundaries",),
+)
+def read_boundaries(t):
+    """Collections of at most a thousand features each, written as GeoJSON and read back."""
+    root = shared_folder(t.spark, "geojson")
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct("code", "nom", "region").alias("properties"),
+        shape.alias("geometry"),
+    )
+    group = F.floor(F.col("code").cast("bigint") / 1000).alias("part")
+    documents = t.view("boundaries").groupBy(group).agg(
+        F.to_json(
+            F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))
+        ).alias("document")
+    )
+    documents.repartition("part").write.partitionBy("part").text(root)
+    rings = F.col("polygons")[0]
+    return read_geojson(t.spark, root).select(
+        "code", "nom", "region", F.size("polygons").alias("polygons"), F.size(rings).alias("rings"),
+        rings[1][2][0].alias("third_hole_longitude"),
+    )
+
+
+@query(
+    "read_manifests",
+    """SELECT '44' AS department, '2024' AS materialized_years, count(*) AS core_rows,
+              count(DISTINCT source_file) AS files FROM station_hours""",
+    ("station_hours",),
+)
+def read_manifests(t):
+    from stationlake.sources.manifests import validated_manifests
+
+    return validated_manifests(t.spark, dataset(t)).select(
+        "department",
+        F.array_join(F.col("materialized_years").cast("array<string>"), ",").alias("materialized_years"),
+        "counts.core_rows",
+        F.size("source_files").cast("bigint").alias("files"),
+    )
+
+
+@query(
+    "write_core_facts",
+    f"""SELECT '44' AS folder_department, cast(year({TIME}) AS varchar) AS folder_year, count(*) AS n
+        FROM station_hours GROUP BY ALL""",
+    ("station_hours",),
+)
+def write_core_facts(t):
+    path = F.col("_metadata.file_path")
+    facts = read_table(t.spark, dataset(t), "hourly_core")
+    return facts.groupBy(
+        F.regexp_extract(path, "department=([^/]+)", 1).alias("folder_department"),
+        F.regexp_extract(path, "year=([^/]+)", 1).alias("folder_year"),
+    ).agg(F.count("*").alias("n"))
+
+
+@query(
+    "replace_affected_partitions",
+    """SELECT department, year, count(*) AS n,
+              round(avg(cast(cast(T AS real) + CASE year WHEN 1999 THEN 1 ELSE 0 END AS real)), 3) AS mean
+       FROM hist WHERE year <> 2000 GROUP BY ALL""",
+    ("hist",),
+)
+def replace_affected_partitions(t):
+    """All years are written; then 1999 is replaced and 2000 comes back empty."""
+    root = shared_folder(t.spark, "replace")
+    given = t.hist
+    facts = given.select(
+        *[
+            (F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in fact_schema("hourly_core").fields
+        ]
+    )
+    codes = [row.department for row in facts.select("department").distinct().collect()]
+    replace_fact_partitions(facts, root, "hourly_core", codes[0], [])
+    later = facts.where("year = 1999").withColumn("T", (F.col("T") + 1).cast("float"))
+    for code in codes:
+        replace_fact_partitions(
+            later.where(F.col("department") == code), root, "hourly_core", code, [1999, 2000]
+        )
+    stored = read_table(t.spark, root, "hourly_core")
+    return stored.groupBy("department", "year").agg(
+        F.count("*").alias("n"), F.round(F.avg("T"), 3).alias("mean")
+    )
+
+
+@query(
+    "write_reports",
+    f"""WITH {GOOD} SELECT NUM_POSTE AS station_id, count(*) AS observation_count FROM good GROUP BY 1""",
+    ("raw",),
+)
+def write_reports(t):
+    folder = shared_folder(t.spark, "reports")
+    report = profiling.station_inventory(profiling.station_value_sets(t.raw))
+    provenance = report_provenance("explore", t.folder, 15, {})
+    path = write_report(report, folder, "station_inventory", provenance)
+    return t.spark.read.parquet(path).select("station_id", "observation_count")
+
+
+@query(
+    "export_csv",
+    """SELECT department, cast(local_date AS varchar) AS day, cast(min(T) AS varchar) AS lowest
+       FROM obs GROUP BY department, local_date""",
+    ("obs",),
+)
+def export(t):
+    """A chart-sized table: one row per department and day."""
+    folder = shared_folder(t.spark, "export")
+    days = t.obs.groupBy("department", F.col("local_date").cast("string").alias("day")).agg(
+        F.min("T").alias("lowest")
+    )
+    chosen = Selection("T", dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    path = export_csv(days, folder, chosen, "daily")
+    return t.spark.read.option("header", True).csv(path)

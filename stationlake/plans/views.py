@@ -55,17 +55,23 @@ def export_historical(facts: DataFrame, selection: Selection, folder: str) -> st
 
 
 def overview_view(
-    facts: DataFrame, selection: Selection, boundaries: DataFrame, departments: Iterable[str]
+    facts: DataFrame, selection: Selection, boundaries: DataFrame,
+    departments: DataFrame | Iterable[str],
+    minimum_daily_hours: int = coverage.DEFAULT_DAILY_HOURS, step: float = spatial.GRID_DEGREES,
 ) -> dict[str, DataFrame]:
-    """Station means of all departments and the surface estimated from them."""
+    """Station means of all departments and the surface estimated from them.
+
+    ``departments`` lists the boundary codes, or is a DataFrame with ``code``.
+    """
     means = stored(
         coverage.temperature_overview(
-            facts, selection.start, selection.end, selection.time_basis, selection.quality_mode
+            facts, selection.start, selection.end, selection.time_basis, selection.quality_mode,
+            minimum_daily_hours,
         ),
         "overview",
     )
-    area = spatial.select_boundaries(boundaries, list(departments))
-    return {"stations": means, "surface": spatial.temperature_surface(means, area)}
+    area = spatial.select_boundaries(boundaries, departments)
+    return {"stations": means, "surface": spatial.temperature_surface(means, area, step)}
 
 
 def context_view(facts: DataFrame, selection: Selection) -> dict[str, DataFrame]:
