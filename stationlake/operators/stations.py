@@ -46,27 +46,44 @@ def latest_attributes(ranges: DataFrame, keys: Sequence[str], *aggregates: Colum
     )
 
 
-def station_history(facts: DataFrame) -> DataFrame:
+STATION_KEYS = ("network_category", "NUM_POSTE")
+
+
+def station_ranges(facts: DataFrame) -> DataFrame:
+    """The one pass over facts that both station tables come from."""
+    return attribute_ranges(facts, [*STATION_KEYS, "department"])
+
+
+def history_of(ranges: DataFrame) -> DataFrame:
     """Every metadata tuple a station ever had, with its first and last time.
 
     A tuple that returns later gives one range that covers both uses.
     """
-    return attribute_ranges(facts, ["network_category", "NUM_POSTE"])
+    return ranges.groupBy(*STATION_KEYS, *ATTRIBUTES).agg(
+        F.min("first_observation_utc").alias("first_observation_utc"),
+        F.max("last_observation_utc").alias("last_observation_utc"),
+    )
 
 
-def station_dimension(facts: DataFrame) -> DataFrame:
+def dimension_of(ranges: DataFrame) -> DataFrame:
     """One row per station: latest attributes, span, departments, variants."""
-    keys = ["network_category", "NUM_POSTE"]
-    ranges = attribute_ranges(facts, [*keys, "department"])
     return latest_attributes(
         ranges,
-        keys,
+        STATION_KEYS,
         F.array_sort(F.collect_set("department")).alias("source_departments"),
         F.count_distinct("NOM_USUEL").alias("name_variant_count"),
         F.count_distinct(F.struct("LAT", "LON", "ALTI")).alias("location_variant_count"),
     )
 
 
+def station_history(facts: DataFrame) -> DataFrame:
+    return history_of(station_ranges(facts))
+
+
+def station_dimension(facts: DataFrame) -> DataFrame:
+    return dimension_of(station_ranges(facts))
+
+
 def stations_for_period(
     facts: DataFrame, start: dt.date, end: dt.date, time_basis: str = "local",
     department: str | None = None,

@@ -21,7 +21,7 @@ from stationlake.schema import (
     TABLE_METRICS,
     TRANSFORMATION_VERSION,
 )
-from stationlake.session import configure, shared_folder
+from stationlake.session import configure, shared_folder, stored
 from stationlake.sinks import tables
 from stationlake.sources import archives as raw
 from stationlake.sources.dictionary import read_dictionary
@@ -191,16 +191,19 @@ def _manifest_frame(spark: SparkSession, plan: SyncPlan, run_id: str, years: lis
     return spark.createDataFrame([record], MANIFEST_FIELDS)
 
 
-def publish(spark: SparkSession, rows: DataFrame, root: str, plan: SyncPlan, run_id: str) -> None:
-    """Write facts, extensions and station tables of the affected years."""
+def publish(
+    spark: SparkSession, rows: DataFrame, root: str, plan: SyncPlan, run_id: str, folder: str
+) -> None:
+    """Write facts and extensions of the affected years, then the station tables."""
     affected = ingest.rows_of_years(rows, plan.years)
     for table in TABLE_METRICS:
         facts = ingest.typed_facts(affected, table, run_id)
         tables.replace_fact_partitions(facts, root, table, plan.department, list(plan.years))
     core = read_table(spark, root, "hourly_core").where(F.col("department") == plan.department)
-    tables.write_station_dimension(stations.station_dimension(core), root, "stations", plan.department)
+    ranges = stored(stations.station_ranges(core), "station-ranges", folder)
+    tables.write_station_dimension(stations.dimension_of(ranges), root, "stations", plan.department)
     tables.write_station_dimension(
-        stations.station_history(core), root, "station_metadata_history", plan.department
+        stations.history_of(ranges), root, "station_metadata_history", plan.department
     )
 
 
@@ -225,7 +228,7 @@ def sync_department(
         rows = stage_sources(spark, plan, folder)
         core = ingest.typed_facts(ingest.rows_of_years(rows, plan.years), "hourly_core", run_id)
         counts = validate_rows(rows, plan, core)
-        publish(spark, rows, analytics_root, plan, run_id)
+        publish(spark, rows, analytics_root, plan, run_id, folder)
         metrics = metric_dimension(spark, read_dictionary(spark, dictionary_path))
         tables.write_small_table(metrics, analytics_root, "metrics", ["owning_table", "source_mnemonic"])
         years = tables.materialized_years(spark, analytics_root, plan.department)

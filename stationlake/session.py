@@ -21,6 +21,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Only a new session can take these.  Recording call sites makes it several times
+# slower to build the wide fact projections.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
@@ -54,7 +58,7 @@ def local_session(name: str = "stationlake", cores: str = "*", shuffle_partition
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in (START_CONF | RUNTIME_CONF).items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
@@ -75,13 +79,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4()}"
 
 
-def stored(frame: DataFrame, purpose: str) -> DataFrame:
-    """The frame written once to the shared folder and read back.
+def stored(frame: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """The frame written once to the shared folder (or a given one) and read back.
 
     For a small result that a plan uses several times: its source is read once,
     and a lost executor does not restart the computation behind it.
     """
     spark = frame.sparkSession
-    path = shared_folder(spark, purpose)
+    path = f"{folder}/{purpose}" if folder else shared_folder(spark, purpose)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
