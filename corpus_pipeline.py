@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stationlake.llm import bpe
+from stationlake.llm.registry import let_workers_import
 from stationlake.session import stored
 
 ORACLE_SQL = None
@@ -21,6 +22,7 @@ STAGES = [("byte-level BPE encoding and decoding", tokenise)]
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; every stage is written to the shared folder and read again."""
+    let_workers_import(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{number}")
