@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationlake.llm import bpe, chat, quality_rules, registry  # noqa: F401
+from stationlake.llm import bpe, chat, line_dedup, quality_rules, registry  # noqa: F401
 
 
 def queries():
