@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stationlake.llm import bpe, chat, fingerprints, line_dedup, quality_rules, registry  # noqa: F401
+from stationlake.llm import bpe, chat, fingerprints, line_dedup, minhash, quality_rules, registry  # noqa: F401
 
 
 def queries():
