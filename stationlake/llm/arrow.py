@@ -38,3 +38,10 @@ def texts(column: pa.Array) -> Iterator[str]:
     """The strings of a text column one after the other; null is the empty text."""
     for value in column:
         yield value.as_py() or ""
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from stationlake.llm import bpe, chat, fingerprints, line_dedup, minhash, quality_rules, registry  # noqa: F401
+from stationlake.llm import (  # noqa: F401
+    bpe,
+    chat,
+    fingerprints,
+    line_dedup,
+    minhash,
+    quality_rules,
+    registry,
+    substring_dedup,
+    suffix_dedup,
+)
 
 
 def queries():
