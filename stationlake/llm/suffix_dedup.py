@@ -9,14 +9,14 @@ and share a speaker form a run, and runs can be compared instead of positions (o
 
 Sorted by speaker, a run whose speaker is unique is done: none of its strings occurs elsewhere.  A run that is
 equal to an earlier one is done too: all its strings occur earlier.  What is left are runs with a known speaker
-but other bytes around it.  Their positions are doubled to depth 64, and the pair of names
-at distance 36 is the rank at depth 100, the threshold.  Spark sorts these pairs, and every position but the first of a
-rank starts a string that occurs earlier.
+but other bytes around it.  They are doubled to depth 64 and sorted again in the same way, with speakers of 64
+bytes.  What is still left is ranked by pairs of names of depth 64 at distance 36: the rank at depth 100, the
+threshold.  Spark sorts these pairs, and every position but the first of a rank starts a string that occurs earlier.
 
 Each task sends one row per different run and batch; equal runs of the same batch are decided there.  A
 speaker with very many different runs in a batch (a common line) sends one row, and its runs go
-straight to depth 100.  So no key gathers more than a few rows per batch.  The text is exchanged by id once, and that
-exchange serves both the doubling and the removal.
+straight to the next depth.  So no key gathers more than a few rows per batch.  The text is exchanged by id once, and that
+exchange serves the doublings and the removal.
 
 Names are 64 bits at depth 32 and pairs of 64 bits at depth 100; the chance of a wrong one
 grows with the square of the compared runs, 2e-5 for 20 million.
@@ -41,15 +41,15 @@ from stationlake.llm.registry import query, table
 from stationlake.session import stored
 
 DEPTH = 100
-SPEAKER = 32
-# Different runs of one speaker in a batch beyond which they go to the last depth at once.
+# Depths of the first two sorts.
+SPEAKERS = (32, 64)
+# Different runs of one speaker in a batch beyond which they go to the next depth at once.
 MANY_RUNS = 32
 # Strings handled at a time, so that memory does not grow with the length of a text.
 PIECE = 1 << 20
 
 _BYTES = np.random.RandomState(5).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_HALF = np.uint64(32)
 
 
 def pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -71,37 +71,54 @@ def names(content: np.ndarray, depth: int) -> np.ndarray:
     return found
 
 
-def runs(content: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Speaker names, content names, first positions and lengths of the runs of a text."""
-    parts = [_piece_runs(content[at : at + PIECE + depth - 1], at, depth) for at in range(0, max(1, len(content) - depth + 1), PIECE)]
+def runs(
+    content: np.ndarray, depth: int, speaker: int, wanted: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Speaker names, content names, first positions and lengths of the runs of a text (at wanted positions)."""
+    parts = []
+    for at in range(0, max(1, len(content) - depth + 1), PIECE):
+        here = None if wanted is None else wanted[at : at + PIECE]
+        parts.append(_piece_runs(content[at : at + PIECE + depth - 1], at, depth, speaker, here))
     return tuple(np.concatenate(columns) for columns in zip(*parts, strict=True))
 
 
-def _piece_runs(content: np.ndarray, offset: int, depth: int):
+def _piece_runs(content: np.ndarray, offset: int, depth: int, speaker: int, wanted: np.ndarray | None):
     strings = len(content) - depth + 1
     if strings < 1:
         none = np.zeros(0, np.uint64)
         return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at_speaker = names(content, SPEAKER)
+    half = names(content, speaker // 2)
+    at_speaker = pair(half[: -(speaker // 2)], half[speaker // 2 :])
     # High halves of the names with the position below them: the smallest is the leftmost of the smallest.
     least = (at_speaker & ~np.uint64(0xFFFFFFFF)) | np.arange(len(at_speaker), dtype=np.uint64)
-    width, reach = depth - SPEAKER + 1, 1
+    width, reach = depth - speaker + 1, 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < width:
         least = np.minimum(least[: reach - width], least[width - reach :])
     speakers = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], speakers[1:] != speakers[:-1])))
-    last = np.append(first[1:], strings) - 1
+    places = np.arange(strings) if wanted is None else np.flatnonzero(wanted)
+    new = np.ones(len(places), bool)
+    new[1:] = (speakers[places[1:]] != speakers[places[:-1]]) | (places[1:] != places[:-1] + 1)
+    starts = np.flatnonzero(new)
+    first, last = places[starts], places[np.append(starts[1:], len(places))[: len(starts)] - 1]
     # First and last string cover the run; with their distance they name its content.
-    longer = pair(at_speaker[:-SPEAKER], at_speaker[SPEAKER:])
-    ends = depth - 2 * SPEAKER
+    longer = at_speaker if speaker == 64 else pair(at_speaker[:-32], at_speaker[32:])
+    ends = depth - 64
     whole = pair(pair(longer[first], longer[first + ends]), pair(longer[last], longer[last + ends]))
     whole = pair(whole, (last - first).astype(np.uint64))
     return at_speaker[speakers[first]], whole, first + offset, last - first + 1
 
 
+def positions(own: list[dict] | None, strings: int) -> np.ndarray:
+    """Which positions lie in some runs."""
+    wanted = np.zeros(max(0, strings), bool)
+    for part in own or ():
+        wanted[part["first"] : part["first"] + part["length"]] = True
+    return wanted
+
+
 def _contents(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each text."""
     column = column.cast(pa.large_binary())
@@ -123,21 +140,26 @@ def _first_rows(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.n
     return first
 
 
-def sampled_runs(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All runs of all texts: speaker, whole, doc_id, first, length, and what the batch knows already.
+def sampled_runs(docs: DataFrame, depth: int, speaker: int, within: bool = False) -> DataFrame:
+    """Runs of all texts: speaker, whole, doc_id, first, length, and what the batch knows already.
 
-    ``state`` is 0 for a row to compare, 1 for a run equal to an earlier one of its batch, 2 for a run
-    to check at full depth, and 3 for a row that only tells that its speaker has many runs.
+    ``within`` is for (doc_id, text, runs): only positions in these runs count.  ``state`` is 0 for a row to
+    compare, 1 for a run equal to an earlier one of its batch, 2 for a run to look at more
+    deeply, and 3 for a row that only tells that its speaker has many runs.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            parts = [runs(content, depth) for content in _contents(batch.column(1))]
-            speaker, whole, first, length = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+            lists = batch.column(2).to_pylist() if within else [None] * batch.num_rows
+            parts = [
+                runs(content, depth, speaker, positions(own, len(content) - depth + 1) if within else None)
+                for content, own in zip(_contents(batch.column(1)), lists, strict=True)
+            ]
+            said, whole, first, length = (np.concatenate(columns) for columns in zip(*parts, strict=True))
             doc = np.repeat(batch.column(0).to_numpy(), [len(part[0]) for part in parts])
-            state = np.where(_first_rows([whole, speaker], doc, first), 0, 1).astype(np.int8)
+            state = np.where(_first_rows([whole, said], doc, first), 0, 1).astype(np.int8)
             sent = np.flatnonzero(state == 0)
-            found, which, count = np.unique(speaker[sent], return_inverse=True, return_counts=True)
+            found, which, count = np.unique(said[sent], return_inverse=True, return_counts=True)
             many = count > MANY_RUNS
             state[sent[many[which]]] = 2
             # One row per such speaker tells the others of it.
@@ -146,7 +168,7 @@ def sampled_runs(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             states = np.concatenate([state, np.full(len(extra), 3, np.int8)])
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(speaker.view(np.int64)[rows]), pa.array(whole.view(np.int64)[rows]), pa.array(doc[rows]),
+                    [pa.array(said.view(np.int64)[rows]), pa.array(whole.view(np.int64)[rows]), pa.array(doc[rows]),
                      pa.array(first[rows].astype(np.int32)), pa.array(length[rows].astype(np.int32)), pa.array(states)],
                     names=["speaker", "whole", "doc_id", "first", "length", "state"],
                 )
@@ -180,7 +202,7 @@ def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for doc_id, content, own in zip(
                 batch.column(0).to_pylist(), _contents(batch.column(1)), batch.column(2).to_pylist(), strict=True
             ):
-                at = np.concatenate([np.arange(r["first"], r["first"] + r["length"]) for r in own])
+                at = np.flatnonzero(positions(own, len(content) - depth + 1))
                 for start in range(0, len(content) - depth + 1, PIECE):
                     here = at[(at >= start) & (at < start + PIECE)]
                     if len(here):
@@ -209,17 +231,22 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_bytes, kept bytes and removed byte spans of every document."""
     needed = docs.select(F.col("doc_id").cast("long"), "text")
     known = needed.where("doc_id IS NOT NULL")
-    judged = stored(judged_runs(sampled_runs(known, depth)), "repeated-runs")
+    judged = stored(judged_runs(sampled_runs(known, depth, SPEAKERS[0])), "repeated-runs")
     by_id = known.repartition("doc_id")
 
     def lists(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "length")).alias("runs"))
 
-    check = lists(judged.where("NOT later"))
-    strings = later_strings(by_id.join(check, "doc_id").select("doc_id", "text", "runs"), depth)
-    gone = lists(judged.where("later").select("doc_id", "first", "length").unionByName(
-        strings.select("doc_id", "first", F.lit(1).alias("length"))
-    ))
+    def at(rows: DataFrame) -> DataFrame:
+        return by_id.join(lists(rows), "doc_id").select("doc_id", "text", "runs")
+
+    places = ("doc_id", "first", "length")
+    deeper = judged_runs(sampled_runs(at(judged.where("NOT later")), depth, SPEAKERS[1], within=True))
+    strings = later_strings(at(deeper.where("NOT later")), depth).withColumn("length", F.lit(1))
+    gone = lists(
+        judged.where("later").select(*places).unionByName(deeper.where("later").select(*places))
+        .unionByName(strings.select(*places))
+    )
     joined = by_id.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
     nobody = needed.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(gone.schema["runs"].dataType).alias("runs"))
     span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
