@@ -9,6 +9,7 @@ from stationlake.llm import (  # noqa: F401
     language_model,
     line_dedup,
     minhash,
+    mixing,
     quality_rules,
     registry,
     substring_dedup,
