@@ -30,10 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated long lines; one that consisted of nothing else goes."""
+    """Documents without repeated long lines; a document that consisted of nothing else stays, without text."""
     done = line_dedup.dedup_lines(docs)
-    left = done.where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,18 +171,13 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     members = stored(bands.join(shared, ["band", "key"], "left_semi").distinct(), "minhash-bands")
     involved = members.select("doc_id").distinct()
     signatures = stored(
-        chosen.join(involved, "doc_id", "left_semi").select("doc_id", "signature").distinct(), "minhash-signatures"
+        chosen.join(involved, "doc_id", "left_semi").select("doc_id", "bands", "signature").distinct(), "minhash-signatures"
     )
     all_texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     texts_of = stored(all_texts.join(involved, "doc_id", "left_semi").distinct(), "minhash-texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        one = signatures.select(F.col("doc_id").alias("low"), F.col("signature").alias("_low"))
-        two = signatures.select(F.col("doc_id").alias("high"), F.col("signature").alias("_high"))
-        close = pairs.join(one, "low").join(two, "high").where(
-            estimate(F.col("_low"), F.col("_high")) >= percent / 100 - SLACK
-        )
-        return confirmed(close.select("low", "high"), texts_of, width, percent)
+    def close(one: str, other: str) -> Column:
+        return estimate(F.col(one), F.col(other)) >= percent / 100 - SLACK
 
     links, labels, left = None, involved.withColumn("component", F.col("doc_id")), members
     for number in range(LEADER_ROUNDS + 1):
@@ -192,14 +187,25 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
             leader = F.min if number == 0 else F.max
             leaders = current.groupBy("band", "key").agg(leader(F.struct("doc_id", "component")).alias("leader"))
             met = current.join(leaders, ["band", "key"]).where("component <> leader.component")
-            pairs = met.select(F.least("doc_id", "leader.doc_id").alias("low"), F.greatest("doc_id", "leader.doc_id").alias("high"))
+            pairs = met.select(
+                F.least("doc_id", "leader.doc_id").alias("low"), F.greatest("doc_id", "leader.doc_id").alias("high")
+            ).distinct()
+            one = signatures.select(F.col("doc_id").alias("low"), F.col("signature").alias("_low"))
+            two = signatures.select(F.col("doc_id").alias("high"), F.col("signature").alias("_high"))
+            near = pairs.join(one, "low").join(two, "high").where(close("_low", "_high")).select("low", "high")
         else:
-            other = current.select(
-                "band", "key", F.col("doc_id").alias("other"), F.col("component").alias("other_component")
-            )
-            met = current.join(other, ["band", "key"]).where("doc_id < other AND component <> other_component")
-            pairs = met.select(F.col("doc_id").alias("low"), F.col("other").alias("high"))
-        new = stored(linked(pairs.distinct()).distinct(), f"minhash-links-{number}")
+            # What is left meets in its first common band only, and only close pairs leave the join.
+            wide = current.join(signatures, "doc_id")
+            one = wide.select("band", "key", *(F.col(c).alias(f"_low_{c}") for c in ("doc_id", "component", "bands", "signature")))
+            two = wide.select("band", "key", *(F.col(c).alias(f"_high_{c}") for c in ("doc_id", "component", "bands", "signature")))
+            two = two.withColumnsRenamed({"band": "_band", "key": "_key"})
+            common = F.array_position(F.zip_with("_low_bands", "_high_bands", lambda a, b: a == b), True)
+            near = one.join(
+                two, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
+                & (F.col("_low_doc_id") < F.col("_high_doc_id")) & (F.col("_low_component") != F.col("_high_component"))
+                & (common == F.col("band") + 1) & close("_low_signature", "_high_signature"),
+            ).select(F.col("_low_doc_id").alias("low"), F.col("_high_doc_id").alias("high")).distinct()
+        new = stored(confirmed(near, texts_of, width, percent).distinct(), f"minhash-links-{number}")
         if new.take(1):
             links = new if links is None else links.unionByName(new)
             joined = connected(links).select(F.col("node").alias("doc_id"), F.col("component").alias("smallest"))

@@ -68,7 +68,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[
     counted = stored(
         found.groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), "mix-counts"
     )
-    number = {row["domain"]: row["count"] for row in domains.groupBy("domain").count().collect()}
+    # Priors are those of the labelled documents that are in the input.
+    present = docs.select("doc_id").join(domains, F.col("doc_id") == F.col("_id")).groupBy("domain").count()
+    number = {row["domain"]: row["count"] for row in present.collect()}
     total = sum(number.values())
     priors = {d: (number.get(d, 0) + 1e-3) / (total + 3e-3) if total else float(d == "good") + 1e-9 for d in DOMAINS}
     sums = counted.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS)).first()
