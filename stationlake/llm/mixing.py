@@ -4,14 +4,14 @@ A naive Bayes classifier over hashed words and word endings is counted from the
 the ``labels`` table; its domains are ``good``, ``poor`` (by quality) and ``toxic``.  It gives
 every document a posterior over the domains instead of one label.  Rates by document, not below zero, are then
 fitted so that the expected tokens of each domain, the sum of rate times tokens times posterior,
-meet the targets: projected gradient descent on the squared misses (each relative to its domain's tokens), from rate 1.
+meet the targets: projected gradient descent on the squared misses from rate 1.
 Every step is one aggregate of a few numbers over the stored posteriors; a document's rate is an
 expression of its posterior and the steps so far.  Among all rates that meet the targets, those near 1 are reached.
 
 Only DataFrame functions are used.  The classifier keeps words whose share in some domain differs clearly from their
 share overall, out of 2^18 hash buckets: at most so many rows, which is the bound on what is broadcast.
 
-Defined cases: null or empty text has no tokens, the prior as posterior, and takes the rate that follows from it;
+Defined cases: null or empty text has no tokens, no evidence, and the rate that follows from that;
 labels that repeat an id count by their worst values, null labels are not used; without labels all documents belong
 to ``good``; null and repeated ids are rows of their own; an empty table gives an empty table; other columns are ignored.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,14 @@ from stationlake.session import stored
 
 DOMAINS = ("good", "poor", "toxic")
 # Tokens wanted of each domain, as shares of what the corpus is expected to have of it.
-TARGETS = {"good": 1.02, "poor": 0.25, "toxic": 0.1}
+TARGETS = {"good": 1.02, "poor": 0.5, "toxic": 0.5}
 BUCKETS = 1 << 18
 PRIOR_WORDS = 50.0
 CLEAR = 4.0  # standard deviations between a word's share in a domain and overall
 EVIDENCE = 60  # words of full weight; more count by the root of their number
 STEPS_STORED = 12
-MOST_STEPS = 240
-CLOSE = 1e-4
+MOST_STEPS = 60
+CLOSE = 1e-5
 
 
 def words(text: Column) -> Column:
@@ -59,20 +60,15 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return known.select(F.col("doc_id").alias("_id"), domain.alias("domain"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """Evidence by bucket (at most ``BUCKETS`` rows) and the log-priors of the domains."""
-    domains = stored(labelled_domains(labels), "mix-domains")
+def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Evidence for each domain by bucket, at most ``BUCKETS`` rows."""
+    domains = labelled_domains(labels)
     known = docs.select("doc_id", "text").join(domains, F.col("doc_id") == F.col("_id"))
     found = known.select("domain", words(F.col("text")).alias("_words"))
     found = found.select("domain", F.explode(_buckets(F.col("_words"))).alias("bucket"))
     counted = stored(
         found.groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), "mix-counts"
     )
-    # Priors are those of the labelled documents that are in the input.
-    present = docs.select("doc_id").join(domains, F.col("doc_id") == F.col("_id")).groupBy("domain").count()
-    number = {row["domain"]: row["count"] for row in present.collect()}
-    total = sum(number.values())
-    priors = {d: (number.get(d, 0) + 1e-3) / (total + 3e-3) if total else float(d == "good") + 1e-9 for d in DOMAINS}
     sums = counted.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS)).first()
     everything = float(sum(sums)) or 1.0
     share = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0])) / everything
@@ -81,13 +77,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[
         expected = share * float(sums[domain])
         clear = clear | (F.abs(F.col(domain) - expected) > CLEAR * F.sqrt(expected))
         evidence[domain] = F.log((F.col(domain) + PRIOR_WORDS * share) / ((float(sums[domain]) + PRIOR_WORDS) * share))
-    return counted.where(clear).select("bucket", *(e.alias(d) for d, e in evidence.items())), {
-        d: math.log(p) for d, p in priors.items()
-    }
+    return counted.where(clear).select("bucket", *(e.alias(d) for d, e in evidence.items()))
 
 
-def posteriors(docs: DataFrame, evidence: DataFrame, priors: dict[str, float]) -> DataFrame:
-    """doc_id, n_tokens and a posterior ``p_<domain>`` per row of the documents."""
+def posteriors(docs: DataFrame, labels: DataFrame, evidence: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and a posterior ``p_<domain>`` per row of the documents.
+
+    The prior of a document is the share of the domains among the labelled documents for which its
+    evidence, too, speaks most: a document without a toxic word is not as likely toxic as any.
+    """
     found = docs.select("doc_id", words(F.col("text")).alias("_words"))
     rows = found.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", F.size("_words").cast("long").alias("n_tokens"),
@@ -99,30 +97,55 @@ def posteriors(docs: DataFrame, evidence: DataFrame, priors: dict[str, float]) -
     )
     # Words are not independent: beyond some evidence, more of it counts by its root only.
     scale = F.when(F.col("n") > EVIDENCE, F.sqrt(EVIDENCE / F.col("n"))).otherwise(1.0)
-    scores = [priors[d] + F.col(d) * scale for d in DOMAINS]
-    largest = F.greatest(*scores)
-    weights = sums.select("doc_id", "n_tokens", *(F.exp(s - largest).alias(d) for s, d in zip(scores, DOMAINS, strict=True)))
+    largest = F.greatest(*DOMAINS)
+    lead = F.lit(DOMAINS[0])
+    for domain in DOMAINS[1:]:
+        lead = F.when((F.col(domain) == largest) & (F.col(DOMAINS[0]) < largest), domain).otherwise(lead)
+    known = stored(sums.select("doc_id", "n_tokens", lead.alias("lead"), *((F.col(d) * scale).alias(d) for d in DOMAINS)), "mix-evidence")
+    labelled = known.select("doc_id", "lead").join(labelled_domains(labels), F.col("doc_id") == F.col("_id"))
+    shares = {(r["lead"], r["domain"]): r["count"] for r in labelled.groupBy("lead", "domain").count().collect()}
+    scores = []
+    for domain in DOMAINS:
+        prior = F.lit(None).cast("double")
+        for seen in DOMAINS:
+            total = sum(shares.get((seen, d), 0) for d in DOMAINS)
+            share = (shares.get((seen, domain), 0) + 0.5 * (domain == seen)) / (total + 0.5)
+            prior = F.when(F.col("lead") == seen, math.log(max(share, 1e-6))).otherwise(prior)
+        scores.append(prior + F.col(domain))
+    highest = F.greatest(*scores)
+    weights = known.select("doc_id", "n_tokens", *(F.exp(s - highest).alias(d) for s, d in zip(scores, DOMAINS, strict=True)))
     total = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
     return weights.select("doc_id", "n_tokens", *((F.col(d) / total).alias(f"p_{d}") for d in DOMAINS))
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The rows with the column ``rate``; ``targets`` are shares of each domain's expected tokens."""
+    """The rows with the column ``rate``; ``targets`` are shares of each domain's expected tokens.
+
+    A step's gradient is scaled by the domains' overlap among the documents whose rate is not yet 0,
+    so a few steps suffice also where posteriors are not sharp.
+    """
     tokens = F.col("n_tokens").cast("double")
+    pairs = [(a, b) for a in DOMAINS for b in DOMAINS if a <= b]
 
-    def expected(rate: Column) -> list[Column]:
-        return [F.coalesce(F.sum(tokens * F.col(f"p_{d}") * rate), F.lit(0.0)).alias(d) for d in DOMAINS]
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(tokens * value), F.lit(0.0))
 
     current = stored(soft, "mix-posteriors").withColumn("rate", F.lit(1.0))
-    natural = current.agg(*expected(F.lit(1.0))).first()
+    natural = current.agg(*(total(F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
     rate, pending = F.col("rate"), 0
     for _ in range(MOST_STEPS):
-        now = current.agg(*expected(rate)).first()
-        misses = {d: now[d] / natural[d] - targets[d] if natural[d] > 0 else 0.0 for d in DOMAINS}
-        if max(map(abs, misses.values())) < CLOSE:
+        active = F.when(rate > 0, 1.0).otherwise(0.0)
+        now = current.agg(
+            *(total(F.col(f"p_{d}") * rate).alias(d) for d in DOMAINS),
+            *(total(F.col(f"p_{a}") * F.col(f"p_{b}") * active).alias(f"{a}_{b}") for a, b in pairs),
+        ).first()
+        misses = [now[d] - targets[d] * natural[d] for d in DOMAINS]
+        if all(abs(m) <= CLOSE * (natural[d] + 1) for m, d in zip(misses, DOMAINS, strict=True)):
             break
-        slope = sum((F.col(f"p_{d}") * misses[d] for d in DOMAINS[1:]), F.col(f"p_{DOMAINS[0]}") * misses[DOMAINS[0]])
-        rate, pending = F.greatest(rate - slope, F.lit(0.0)), pending + 1
+        overlap = np.array([[now[f"{min(a, b)}_{max(a, b)}"] for b in DOMAINS] for a in DOMAINS])
+        slopes = np.linalg.solve(overlap + np.eye(len(DOMAINS)) * (1e-6 * np.trace(overlap) + 1e-9), misses)
+        fall = sum((F.col(f"p_{d}") * float(s) for d, s in list(zip(DOMAINS, slopes, strict=True))[1:]), F.col(f"p_{DOMAINS[0]}") * float(slopes[0]))
+        rate, pending = F.greatest(rate - fall, F.lit(0.0)), pending + 1
         if pending == STEPS_STORED:
             current = stored(current.withColumn("rate", rate), "mix-rates")
             rate, pending = F.col("rate"), 0
@@ -131,8 +154,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, posteriors and the fitted rate of every document."""
-    evidence, priors = fit_classifier(docs, labels)
-    return fit_rates(posteriors(docs, evidence, priors), targets)
+    return fit_rates(posteriors(docs, labels, fit_classifier(docs, labels)), targets)
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
