@@ -13,7 +13,8 @@ misses all bands with a chance of 5e-8.
 A band's rows are never paired with each other outright.  First, rounds compare every row with one
 leader of its band, and confirmed links are joined to components.  Bands whose rows are all in one component
 are finished.  Only in the others are the rows of different components compared, each pair once, so no
-link between components is lost.  Exact copies and families of close copies cost one comparison per row and band.
+link between components is lost; pairs that cannot reach the threshold, since too many of their shingles are in no
+other set that is left, are passed over unseen.  Exact copies and families of close copies cost one comparison per row and band.
 
 Defined cases: a text without words has an empty set, and is linked with nothing (also not with other empty
 texts); fewer words than ``width`` are one shingle; null texts are empty; null ids are kept as documents without
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm.arrow import texts
+from stationlake.llm.arrow import slices, texts
 from stationlake.llm.components import connected
 from stationlake.llm.registry import query, table
 from stationlake.session import stored
@@ -94,6 +95,10 @@ def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def _digest(hashes: bytes) -> bytes | None:
+    return hashlib.blake2b(hashes, digest_size=16).digest() if hashes else None
+
+
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, signature array<long>"
 
 
@@ -107,7 +112,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 found = shingles(text, width)
                 empty = not len(found)
                 keys, packed = (None, None) if empty else sketch(minima(found))
-                digest = None if empty else hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                digest = _digest(found.tobytes())
                 for column, value in zip(columns, (len(found), digest, keys, packed), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -134,29 +139,55 @@ def estimate(one: Column, other: Column) -> Column:
     return (same / (BANDS * ROWS) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (low, high) whose full shingle sets are similar enough; ``found`` has their texts."""
-    one = found.select(F.col("doc_id").alias("high"), F.col("text").alias("high_text"))
-    two = found.select(F.col("doc_id").alias("low"), F.col("text").alias("low_text"))
-    with_texts = pairs.join(one, "high").join(two, "low").select("low", "high", "low_text", "high_text")
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """The full sets (doc_id, digest, hashes: sorted 64-bit hashes one after the other)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text, width).tobytes() for text in texts(batch.column(1))]
+            digests = [_digest(hashes) for hashes in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
+                names=["doc_id", "digest", "hashes"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, hashes binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (low, high) whose full sets are similar enough."""
+    one = sets.select(F.col("doc_id").alias("high"), F.col("hashes").alias("high_set"))
+    two = sets.select(F.col("doc_id").alias("low"), F.col("hashes").alias("low_set"))
+    with_sets = pairs.join(one, "high").join(two, "low").select("low", "high", "low_set", "high_set")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
         for batch in batches:
             keep = []
-            for low_text, high_text in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
-                if low_text != last:
-                    last, last_set = low_text, shingles(low_text, width)
-                other = shingles(high_text, width)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
+            for low, high in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(value.as_buffer(), np.uint64) for value in (low, high))
+                small, large = (one, two) if len(one) < len(two) else (two, one)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int(np.count_nonzero(large[at] == small))
+                keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return with_texts.mapInArrow(run, "low long, high long")
+    return with_sets.mapInArrow(run, "low long, high long")
+
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """By digest, how many shingles no other of the sets has (rows only for sets that have some)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            found = [np.frombuffer(value.as_buffer(), np.int64) for value in batch.column(1)]
+            digests = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(digests), pa.array(np.concatenate(found))], names=["digest", "shingle"]
+            )
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+    rows = sets.select("digest", "hashes").mapInArrow(run, "digest binary, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("digest").alias("digest")).where("n = 1")
+    return alone.groupBy("digest").agg(F.count("*").alias("own"))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -171,10 +202,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     members = stored(bands.join(shared, ["band", "key"], "left_semi").distinct(), "minhash-bands")
     involved = members.select("doc_id").distinct()
     signatures = stored(
-        chosen.join(involved, "doc_id", "left_semi").select("doc_id", "bands", "signature").distinct(), "minhash-signatures"
+        chosen.join(involved, "doc_id", "left_semi")
+        .select("doc_id", "digest", "n_shingles", "bands", "signature").distinct(), "minhash-signatures"
     )
     all_texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts_of = stored(all_texts.join(involved, "doc_id", "left_semi").distinct(), "minhash-texts")
+    sets = stored(full_sets(all_texts.join(involved, "doc_id", "left_semi"), width).distinct(), "minhash-sets")
 
     def close(one: str, other: str) -> Column:
         return estimate(F.col(one), F.col(other)) >= percent / 100 - SLACK
@@ -194,18 +226,28 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
             two = signatures.select(F.col("doc_id").alias("high"), F.col("signature").alias("_high"))
             near = pairs.join(one, "low").join(two, "high").where(close("_low", "_high")).select("low", "high")
         else:
-            # What is left meets in its first common band only, and only close pairs leave the join.
-            wide = current.join(signatures, "doc_id")
-            one = wide.select("band", "key", *(F.col(c).alias(f"_low_{c}") for c in ("doc_id", "component", "bands", "signature")))
-            two = wide.select("band", "key", *(F.col(c).alias(f"_high_{c}") for c in ("doc_id", "component", "bands", "signature")))
-            two = two.withColumnsRenamed({"band": "_band", "key": "_key"})
+            # What is left meets in its first common band only, and only close pairs leave the join.  Shingles
+            # that no other set left has are missing in any intersection and are in every union.
+            left_sets = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["digest"])
+            alone = stored(own_shingles(left_sets), "minhash-own")
+            wide = current.join(signatures.join(alone, "digest", "left").na.fill(0, ["own"]), "doc_id")
+            columns = ("doc_id", "component", "bands", "signature", "n_shingles", "own")
+            one = wide.select("band", "key", *(F.col(c).alias(f"_low_{c}") for c in columns))
+            two = wide.select(
+                F.col("band").alias("_band"), F.col("key").alias("_key"), *(F.col(c).alias(f"_high_{c}") for c in columns)
+            )
             common = F.array_position(F.zip_with("_low_bands", "_high_bands", lambda a, b: a == b), True)
+            most = F.least(*(F.col(f"_{s}_n_shingles") - F.col(f"_{s}_own") for s in ("low", "high")))
+            union = F.greatest(
+                F.col("_low_n_shingles") + F.col("_high_own"), F.col("_high_n_shingles") + F.col("_low_own")
+            )
             near = one.join(
                 two, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
                 & (F.col("_low_doc_id") < F.col("_high_doc_id")) & (F.col("_low_component") != F.col("_high_component"))
-                & (common == F.col("band") + 1) & close("_low_signature", "_high_signature"),
+                & (100 * most >= percent * union) & close("_low_signature", "_high_signature")
+                & (common == F.col("band") + 1),
             ).select(F.col("_low_doc_id").alias("low"), F.col("_high_doc_id").alias("high")).distinct()
-        new = stored(confirmed(near, texts_of, width, percent).distinct(), f"minhash-links-{number}")
+        new = stored(confirmed(near, sets, percent).distinct(), f"minhash-links-{number}")
         if new.take(1):
             links = new if links is None else links.unionByName(new)
             joined = connected(links).select(F.col("node").alias("doc_id"), F.col("component").alias("smallest"))
