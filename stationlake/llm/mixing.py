@@ -63,7 +63,8 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Evidence for each domain by bucket, at most ``BUCKETS`` rows."""
     domains = labelled_domains(labels)
-    known = docs.select("doc_id", "text").join(domains, F.col("doc_id") == F.col("_id"))
+    # Labels grow with the corpus, so the texts go to them in the same way at every size.
+    known = docs.select("doc_id", "text").join(domains.hint("merge"), F.col("doc_id") == F.col("_id"))
     found = known.select("domain", words(F.col("text")).alias("_words"))
     found = found.select("domain", F.explode(_buckets(F.col("_words"))).alias("bucket"))
     counted = stored(

@@ -49,6 +49,10 @@ MANY_RUNS = 32
 PIECE = 1 << 20
 
 _BYTES = np.random.RandomState(5).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# A run's first position and its length (under 128) travel as one number.
+LENGTH_BITS = 7
+LENGTHS = (1 << LENGTH_BITS) - 1
+
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -111,11 +115,12 @@ def _piece_runs(content: np.ndarray, offset: int, depth: int, speaker: int, want
     return at_speaker[speakers[first]], whole, first + offset, last - first + 1
 
 
-def positions(own: list[dict] | None, strings: int) -> np.ndarray:
-    """Which positions lie in some runs."""
+def positions(own: list[int], strings: int) -> np.ndarray:
+    """Which positions lie in some runs, given as places (first position and length in one number)."""
     wanted = np.zeros(max(0, strings), bool)
-    for part in own or ():
-        wanted[part["first"] : part["first"] + part["length"]] = True
+    for place in own:
+        first = place >> LENGTH_BITS
+        wanted[first : first + (place & LENGTHS)] = True
     return wanted
 
 
@@ -141,7 +146,7 @@ def _first_rows(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.n
 
 
 def sampled_runs(docs: DataFrame, depth: int, speaker: int, within: bool = False) -> DataFrame:
-    """Runs of all texts: speaker, whole, doc_id, first, length, and what the batch knows already.
+    """Runs of all texts: speaker, whole, doc_id, place, and what the batch knows already.
 
     ``within`` is for (doc_id, text, runs): only positions in these runs count.  ``state`` is 0 for a row to
     compare, 1 for a run equal to an earlier one of its batch, 2 for a run to look at more
@@ -169,20 +174,20 @@ def sampled_runs(docs: DataFrame, depth: int, speaker: int, within: bool = False
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(said.view(np.int64)[rows]), pa.array(whole.view(np.int64)[rows]), pa.array(doc[rows]),
-                     pa.array(first[rows].astype(np.int32)), pa.array(length[rows].astype(np.int32)), pa.array(states)],
-                    names=["speaker", "whole", "doc_id", "first", "length", "state"],
+                     pa.array((first << LENGTH_BITS | length)[rows]), pa.array(states)],
+                    names=["speaker", "whole", "doc_id", "place", "state"],
                 )
 
-    return docs.mapInArrow(run, "speaker long, whole long, doc_id long, first int, length int, state tinyint")
+    return docs.mapInArrow(run, "speaker long, whole long, doc_id long, place long, state tinyint")
 
 
 def judged_runs(found: DataFrame) -> DataFrame:
-    """Runs (doc_id, first, length, later): equal to an earlier run, or else to be checked at full depth."""
+    """Runs (doc_id, place, later): equal to an earlier run, or else to be checked at full depth."""
     # Rows that are decided keep out of the way of their speaker's others.
-    key = F.when(F.col("state").isin(0, 3), F.col("speaker")).otherwise(F.xxhash64("doc_id", "first"))
+    key = F.when(F.col("state").isin(0, 3), F.col("speaker")).otherwise(F.xxhash64("doc_id", "place"))
     keyed = found.withColumns({"key": key, "open": F.col("state").isin(0, 3)}).repartition("key")
     same_speaker = Window.partitionBy("key", "open")
-    same_run = Window.partitionBy("key", "open", "whole", "state").orderBy("doc_id", "first")
+    same_run = Window.partitionBy("key", "open", "whole", "state").orderBy("doc_id", "place")
     marked = keyed.withColumns({
         "several": (F.min("whole").over(same_speaker) != F.max("whole").over(same_speaker))
         | (F.max("state").over(same_speaker) == 3),
@@ -190,11 +195,11 @@ def judged_runs(found: DataFrame) -> DataFrame:
     })
     later = (F.col("state") == 1) | ((F.col("state") == 0) & (F.col("rank") > 1))
     check = (F.col("state") == 2) | ((F.col("state") == 0) & F.col("several"))
-    return marked.where("state <> 3").where(later | check).select("doc_id", "first", "length", later.alias("later"))
+    return marked.where("state <> 3").where(later | check).select("doc_id", "place", later.alias("later"))
 
 
 def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Positions (doc_id, first) of checked strings that occur earlier, from texts with their runs to check."""
+    """Places (doc_id, place) of checked strings that occur earlier, from texts with their runs to check."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
@@ -216,15 +221,15 @@ def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
             sent = _first_rows([one, two], doc, at)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc.astype(np.int64)),
-                 pa.array(at.astype(np.int32)), pa.array(sent)],
-                names=["one", "two", "doc_id", "first", "sent"],
+                 pa.array(at << LENGTH_BITS | 1), pa.array(sent)],
+                names=["one", "two", "doc_id", "place", "sent"],
             )
 
-    pairs = with_runs.mapInArrow(run, "one long, two long, doc_id long, first int, sent boolean")
-    apart = F.when(F.col("sent"), F.col("one")).otherwise(F.xxhash64("doc_id", "first"))
-    same = Window.partitionBy("key", "two", "sent").orderBy("doc_id", "first")
-    ranked = pairs.select("two", "doc_id", "first", "sent", apart.alias("key")).withColumn("rank", F.rank().over(same))
-    return ranked.where("NOT sent OR rank > 1").select("doc_id", "first")
+    pairs = with_runs.mapInArrow(run, "one long, two long, doc_id long, place long, sent boolean")
+    apart = F.when(F.col("sent"), F.col("one")).otherwise(F.xxhash64("doc_id", "place"))
+    same = Window.partitionBy("key", "two", "sent").orderBy("doc_id", "place")
+    ranked = pairs.select("two", "doc_id", "place", "sent", apart.alias("key")).withColumn("rank", F.rank().over(same))
+    return ranked.where("NOT sent OR rank > 1").select("doc_id", "place")
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -235,18 +240,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     by_id = known.repartition("doc_id")
 
     def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "length")).alias("runs"))
+        return rows.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
 
     def at(rows: DataFrame) -> DataFrame:
         return by_id.join(lists(rows), "doc_id").select("doc_id", "text", "runs")
 
-    places = ("doc_id", "first", "length")
     deeper = judged_runs(sampled_runs(at(judged.where("NOT later")), depth, SPEAKERS[1], within=True))
-    strings = later_strings(at(deeper.where("NOT later")), depth).withColumn("length", F.lit(1))
-    gone = lists(
-        judged.where("later").select(*places).unionByName(deeper.where("later").select(*places))
-        .unionByName(strings.select(*places))
-    )
+    strings = later_strings(at(deeper.where("NOT later")), depth)
+    found = judged.where("later").drop("later").unionByName(deeper.where("later").drop("later")).unionByName(strings)
+    gone = lists(found)
     joined = by_id.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
     nobody = needed.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(gone.schema["runs"].dataType).alias("runs"))
     span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
@@ -261,8 +263,9 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     spans.append([])
                     continue
                 change = np.zeros(len(content) + 1, np.int32)
-                first = np.array([r["first"] for r in own])
-                after = first + np.array([r["length"] for r in own]) - 1 + depth
+                places = np.array(own, np.int64)
+                first = places >> LENGTH_BITS
+                after = first + (places & LENGTHS) - 1 + depth
                 np.add.at(change, first, 1)
                 np.add.at(change, after, -1)
                 inside = np.cumsum(change[:-1]) > 0
