@@ -162,7 +162,7 @@ def first_n_examples(t):
             GROUP BY 1)
     SELECT st.source_file AS filename, st."column",
            CASE WHEN populated_count > 0 AND num = populated_count THEN 'numeric' ELSE 'string' END AS inferred_type,
-           populated_count, CASE WHEN distinct_values <= 10000 THEN distinct_values END AS distinct_count,
+           populated_count, distinct_values AS distinct_count,
            coalesce(examples, '[]') AS examples, numeric_min, numeric_max, d AS duplicate_station_timestamp_count
     FROM st LEFT JOIN ex ON ex.source_file = st.source_file AND ex."column" = st."column"
     JOIN dup ON dup.source_file = st.source_file

@@ -20,13 +20,21 @@ ARCHIVE_NAME = (
 UNIT_IN_DESCRIPTION = r"(?i)\(en ([^)]+)\)"
 
 
+# A type letter after a digit or point, or hexadecimal notation.
+NOT_DECIMAL = r"(?i)[0-9.][df]\s*$|0x"
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
 def parse_number(value: Column) -> Column:
-    """Decimal text as a double; NULL when it is no number."""
-    return value.try_cast("double")
+    """Decimal text as a double; NULL when it is no number.
+
+    The engine's cast also takes a type letter at the end (``12d``) and hexadecimal digits; those are no
+    decimal numbers here, while ``nan`` and ``inf`` are read as such.
+    """
+    return F.when(~value.rlike(NOT_DECIMAL), value.try_cast("double"))
 
 
 def convert_metric(value: Column, column: str) -> Column:

@@ -18,7 +18,6 @@ from stationlake.schema import DASHBOARD_COLUMNS
 FILE_FIELDS = ("source_file", "period_start", "period_end")
 ROW_FIELDS = (*FILE_FIELDS, "source_row_number", "is_malformed")
 STATION, RAW_TIME = "NUM_POSTE", "AAAAMMJJHH"
-DISTINCT_LIMIT = 10_000
 EXAMPLES = 3
 COMPLETE_SHARE = 0.9
 
@@ -217,7 +216,7 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
 
 
 def archive_profile(rows: DataFrame) -> DataFrame:
-    """Exact distinct counts (NULL above the limit), ranges, examples, repeats."""
+    """Exact distinct counts, ranges, examples, repeats."""
     counts = value_counts(rows)
     stats = _column_statistics(counts)
     return (
@@ -228,7 +227,7 @@ def archive_profile(rows: DataFrame) -> DataFrame:
             "column",
             "inferred_type",
             "populated_count",
-            F.when(F.col("distinct_values") <= DISTINCT_LIMIT, F.col("distinct_values")).alias("distinct_count"),
+            F.col("distinct_values").alias("distinct_count"),
             F.coalesce("examples", F.lit("[]")).alias("examples"),
             "numeric_min",
             "numeric_max",

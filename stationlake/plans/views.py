@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from stationlake.operators import coverage, series, spatial, stations
 from stationlake.operators.selection import (
     Selection,
-    check_result_size,
     from_places,
     has_observations,
     in_period,
@@ -35,7 +34,7 @@ def time_series_view(facts: DataFrame, selection: Selection, resolution: str = "
     """Series, coverage grid of the first station and its hour-by-date matrix."""
     grid = coverage.station_coverage_grid(facts, selection)
     return {
-        "series": check_result_size(time_series(facts, selection, resolution)),
+        "series": time_series(facts, selection, resolution),
         "coverage": grid,
         "matrix": coverage.pivot_coverage(grid, selection),
     }
@@ -46,7 +45,7 @@ def export_time_series(facts: DataFrame, selection: Selection, resolution: str,
 
 
 def historical_view(facts: DataFrame, selection: Selection) -> DataFrame:
-    return check_result_size(series.historical_comparison(facts, selection))
+    return series.historical_comparison(facts, selection)
 
 
 def export_historical(facts: DataFrame, selection: Selection, folder: str) -> str:

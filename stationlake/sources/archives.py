@@ -18,6 +18,7 @@ from stationlake.session import settings
 from stationlake.sources.files import list_files, open_stream
 
 PROBE_BYTES = 65_536
+MOST_TASKS = 10_000
 DELIMITERS = ";,\t|"
 # The charset names Spark and Python use for the two encodings archives have.
 ENCODINGS = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252"}
@@ -104,7 +105,13 @@ def probe_headers(archives: DataFrame) -> DataFrame:
     schema = ARCHIVE_SCHEMA + (
         ", encoding string, delimiter string, columns array<string>, inspection_error string"
     )
-    return listed.repartition("path").mapInPandas(_probe_batches, schema)
+    return _spread(listed).mapInPandas(_probe_batches, schema)
+
+
+def _spread(listed: DataFrame) -> DataFrame:
+    """A task for every few files: a stated number of partitions is not merged at run time."""
+    files = listed.count()
+    return listed.repartition(max(1, min(files, MOST_TASKS)), "path")
 
 
 def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,12 +136,12 @@ def fingerprint_archives(archives: DataFrame, previous: DataFrame | None = None)
     )
     schema = ARCHIVE_SCHEMA + ", sha256 string"
     if previous is None:
-        return listed.repartition("path").mapInPandas(_hash_batches, schema)
+        return _spread(listed).mapInPandas(_hash_batches, schema)
     known = listed.join(
         previous.select("filename", "size", "mtime_ns", "sha256"), ["filename", "size", "mtime_ns"], "left"
     ).select(*listed.columns, "sha256")
     fresh = known.where(F.col("sha256").isNull()).drop("sha256")
-    hashed = fresh.repartition("path").mapInPandas(_hash_batches, schema)
+    hashed = _spread(fresh).mapInPandas(_hash_batches, schema)
     return known.where(F.col("sha256").isNotNull()).unionByName(hashed)
 
 

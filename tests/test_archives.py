@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stationlake.functions import values
 from stationlake.operators import profiling
 from stationlake.plans import inspection
 from stationlake.sources import archives as raw
@@ -178,13 +179,18 @@ def test_inventory_of_archives_without_time_column(spark, folder):
     assert rows[1].earliest_timestamp == "2010-01-01T00:00:00"
 
 
-def test_repeated_keys_and_distinct_limit(spark, monkeypatch):
+def test_repeated_keys_and_distinct_values(spark):
     rows = spark.createDataFrame(
         [("f", 2000, 2001, n, False, "1", "2000010100", str(n)) for n in range(5)],
         "source_file string, period_start int, period_end int, source_row_number bigint, is_malformed boolean, "
         "NUM_POSTE string, AAAAMMJJHH string, T string",
     )
-    monkeypatch.setattr(profiling, "DISTINCT_LIMIT", 3)
     profile = {r.column: r for r in profiling.archive_profile(rows).collect()}
     assert profile["T"].duplicate_station_timestamp_count == 4
-    assert profile["T"].distinct_count is None and profile["NUM_POSTE"].distinct_count == 1
+    assert profile["T"].distinct_count == 5 and profile["NUM_POSTE"].distinct_count == 1
+
+
+def test_type_letters_and_hexadecimal_digits_are_no_numbers(spark):
+    texts = ["12", "-1.5e3", ".5", "nan", "inf", "12d", "3F", "1.f", "0x1p3", "12d ", "abc", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(values.parse_number(F.col("v")).alias("n"))
+    assert [r.n is not None for r in rows.collect()] == [True] * 5 + [False] * 7
