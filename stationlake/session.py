@@ -38,14 +38,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def settings(spark: SparkSession, **values: str):
     """Runtime settings for one write; underscores in names stand for dots."""
     names = {key: "spark.sql." + key.replace("_", ".") for key in values}
-    before = {name: spark.conf.get(name) for name in names.values()}
+    before = {name: spark.conf.get(name, None) for name in names.values()}
     try:
         for key, name in names.items():
             spark.conf.set(name, values[key])
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def local_session(name: str = "stationlake", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:

@@ -147,7 +147,12 @@ def fingerprint_archives(archives: DataFrame, previous: DataFrame | None = None)
 
 def one_file_per_task(spark: SparkSession):
     """Give every unsplittable archive its own task, so lines count from 1 in each."""
-    return settings(spark, files_openCostInBytes=spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return settings(
+        spark,
+        files_openCostInBytes=spark.conf.get("spark.sql.files.maxPartitionBytes"),
+        # A session may ask for fewer partitions than files; lines could then not be counted by file.
+        files_maxPartitionNum=str(2**31 - 1),
+    )
 
 
 def _text_rows(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, columns: list[str]) -> DataFrame:

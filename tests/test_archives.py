@@ -194,3 +194,16 @@ def test_type_letters_and_hexadecimal_digits_are_no_numbers(spark):
     texts = ["12", "-1.5e3", ".5", "nan", "inf", "12d", "3F", "1.f", "0x1p3", "12d ", "abc", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select(values.parse_number(F.col("v")).alias("n"))
     assert [r.n is not None for r in rows.collect()] == [True] * 5 + [False] * 7
+
+
+def test_line_numbers_do_not_follow_session_settings(spark, folder):
+    for number in range(6):
+        write_gzip(folder / f"H_44_200{number}-200{number}.csv.gz", ["NUM_POSTE;T", f"{number};1", f"{number};2"])
+    headers = raw.probe_headers(raw.discover_archives(spark, str(folder))).cache()
+    spark.conf.set("spark.sql.files.maxPartitionNum", "2")
+    try:
+        rows = raw.stage_archives(spark, headers, str(folder / "staged")).collect()
+        assert spark.conf.get("spark.sql.files.maxPartitionNum") == "2"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+    assert sorted({r.source_row_number for r in rows}) == [2, 3] and len(rows) == 12
