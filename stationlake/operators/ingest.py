@@ -140,6 +140,10 @@ def first_bad_metric(rows: DataFrame) -> Column:
     return F.concat(F.lit("invalid "), first["name"], F.lit("="), first["value"])
 
 
+# Degrees, and metres that fit the column of the altitude.
+PLACE_LIMITS = {"LAT": 90.0, "LON": 180.0, "ALTI": 2.0**31 - 1}
+
+
 def _row_rules(rows: DataFrame) -> list[tuple[Column, Column]]:
     """Layout, identity and time rules as (violated, reason) pairs, in order."""
     rules = [(F.col("is_malformed"), F.lit("wrong number of fields"))]
@@ -147,9 +151,10 @@ def _row_rules(rows: DataFrame) -> list[tuple[Column, Column]]:
         rules.append((~values.is_populated(source_column(rows, name)), F.lit(f"missing required {name}")))
     raw = F.col("AAAAMMJJHH")
     rules.append((~timeops.is_valid_time(raw), F.concat(F.lit("invalid AAAAMMJJHH="), raw)))
-    for name in ("LAT", "LON", "ALTI"):
+    for name, most in PLACE_LIMITS.items():
         value = F.col(name)
-        rules.append((values.parse_number(value).isNull(), F.concat(F.lit(f"invalid {name}="), value)))
+        inside = values.parse_number(value).between(-most, most)
+        rules.append((~F.coalesce(inside, F.lit(False)), F.concat(F.lit(f"invalid {name}="), value)))
     return rules
 
 

@@ -249,13 +249,16 @@ def sync_department(
         )
         tables.append_run(run, analytics_root)
         return SyncResult("synchronized", plan, run_id, counts)
-    except ValueError as error:
+    except Exception as error:
+        # Every failure leaves a record; errors of the engine are raised again after it.
         report = spark.createDataFrame(
             [(run_id, plan.department, started, type(error).__name__, str(error), list(plan.years))],
             "processing_run_id string, department string, started_at timestamp, error_type string, "
             "error string, affected_years array<int>",
         ).withColumn("failed_at", F.current_timestamp())
         tables.write_failure(report, analytics_root, run_id)
+        if not isinstance(error, ValueError):
+            raise
         return SyncResult("failed", plan, run_id, error=str(error))
     finally:
         delete(spark, folder)

@@ -115,6 +115,7 @@ def test_changed_and_removed_archives_touch_only_their_years(spark, folder):
         ([line("2020010100"), "a;b"], "H_44_2020-2024.csv.gz:3: wrong number of fields"),
         ([line("2020010100", name="")], "missing required NOM_USUEL"),
         ([line("2020010100", value="warm")], "invalid T=warm"),
+        ([line("2020010100", value="12d")], "invalid T=12d"),
     ],
 )
 def test_bad_rows_publish_nothing(spark, folder, bad, message):
