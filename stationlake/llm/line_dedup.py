@@ -41,7 +41,6 @@ SALTS = 8
 SLOTS = 4
 KICKS = 500
 
-WHITE = "\\t\\n\\x0B\\f\\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,9 +111,13 @@ class Cuckoo:
                     break
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit("\t\n\x0b\f\r "))
+
+
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at its ends, with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit("\t\n\x0b\f\r ")), UPPER, LOWER)
+    return F.translate(_trimmed(line), UPPER, LOWER)
 
 
 def _digest(key: Column) -> Column:
@@ -138,8 +141,9 @@ def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
     """Key digests of all long lines with their documents."""
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     lines = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), line.alias("line"))
-    keys = lines.where(F.length("line") >= least_chars).select("doc_id", line_key(F.col("line")).alias("key"))
-    return keys.where(F.length("key") >= least_chars).select("doc_id", _digest(F.col("key")).alias("digest"))
+    # Lower case keeps the length, so the key itself is only made for lines that are long enough.
+    long = lines.where((F.length("line") >= least_chars) & (F.length(_trimmed(F.col("line"))) >= least_chars))
+    return long.select("doc_id", _digest(line_key(F.col("line"))).alias("digest"))
 
 
 def refs(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

@@ -206,7 +206,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         .select("doc_id", "digest", "n_shingles", "bands", "signature").distinct(), "minhash-signatures"
     )
     all_texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(full_sets(all_texts.join(involved, "doc_id", "left_semi"), width).distinct(), "minhash-sets")
+    sets = stored(full_sets(all_texts.join(involved.hint("merge"), "doc_id", "left_semi"), width).distinct(), "minhash-sets")
 
     def close(one: str, other: str) -> Column:
         return estimate(F.col(one), F.col(other)) >= percent / 100 - SLACK
