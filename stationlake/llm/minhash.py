@@ -13,7 +13,7 @@ misses all bands with a chance of 5e-8.
 A band's rows are never paired with each other outright.  First, rounds compare every row with one
 leader of its band, and confirmed links are joined to components.  Bands whose rows are all in one component
 are finished.  Only in the others are the rows of different components compared, each pair once, so no
-link between components is lost; pairs that cannot reach the threshold, since too many of their shingles are in no
+link between components is lost: their longer signatures are estimated inside the join, and pairs that cannot reach the threshold, since too many of their shingles are in no
 other set that is left, are passed over unseen.  Exact copies and families of close copies cost one comparison per row and band.
 
 Defined cases: a text without words has an empty set, and is linked with nothing (also not with other empty
@@ -24,6 +24,7 @@ links; each repeated row gets the component of its own text; other columns are i
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +45,9 @@ BITS = 4
 # Estimates this far below the threshold are set aside: over six standard errors of 128 minima.
 SLACK = 0.25
 LEADER_ROUNDS = 2
+# Minima of the longer signatures that the last round compares, and how far below the threshold they may lie.
+FINE = 1024
+FINE_ERRORS = 6
 
 _random = np.random.RandomState(20)
 _FACTORS = (_random.randint(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -72,12 +76,12 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, factors: np.ndarray = _FACTORS, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
     """The smallest value of a non-empty set under each permutation."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(low), 512):
-        block = low[start : start + 512, None] * _FACTORS + _SHIFTS
+        block = low[start : start + 512, None] * factors + shifts
         np.minimum(least, block.min(0), out=least)
     return least
 
@@ -88,11 +92,15 @@ def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.arange(BANDS, dtype=np.uint64)
     for at in range(ROWS):
         keys = _mix(keys * _ODD[at] + rows[:, at])
+    return keys.view(np.int64), packed_bits(least)
+
+
+def packed_bits(least: np.ndarray) -> np.ndarray:
+    """The low bits of minima, packed into signed longs."""
     mixed = _mix(least.astype(np.uint64)) & np.uint64(2**BITS - 1)
     per_long = 64 // BITS
     places = np.uint64(BITS) * np.arange(per_long, dtype=np.uint64)
-    packed = (mixed.reshape(-1, per_long) << places).sum(1, dtype=np.uint64)
-    return keys.view(np.int64), packed.view(np.int64)
+    return (mixed.reshape(-1, per_long) << places).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def _digest(hashes: bytes) -> bytes | None:
@@ -124,19 +132,45 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
+def _equal_minima(one: Column, other: Column) -> Column:
+    """How many of the packed low bits of two longs are equal."""
+    differing = one.bitwiseXOR(other)
+    for shift in (1, 2):
+        differing = differing.bitwiseOR(F.shiftrightunsigned(differing, shift))
+    first_bits = sum(1 << BITS * n for n in range(64 // BITS))
+    return F.lit(64 // BITS) - F.bit_count(differing.bitwiseAND(F.lit(first_bits)))
+
+
+def _corrected(same: Column, number: int) -> Column:
+    chance = 1 / 2**BITS
+    return (same / number - chance) / (1 - chance)
+
+
 def estimate(one: Column, other: Column) -> Column:
     """Similarity from two signatures: the share of equal low bits, less what chance makes equal."""
-    def equal(a: Column, b: Column) -> Column:
-        differing = a.bitwiseXOR(b)
-        for shift in (1, 2):
-            differing = differing.bitwiseOR(F.shiftrightunsigned(differing, shift))
-        first_bits = sum(1 << BITS * n for n in range(64 // BITS))
-        return F.lit(64 // BITS) - F.bit_count(differing.bitwiseAND(F.lit(first_bits)))
-
     longs = BANDS * ROWS * BITS // 64
-    same = sum((equal(one[n], other[n]) for n in range(1, longs)), equal(one[0], other[0]))
-    chance = 1 / 2**BITS
-    return (same / (BANDS * ROWS) - chance) / (1 - chance)
+    same = sum((_equal_minima(one[n], other[n]) for n in range(1, longs)), _equal_minima(one[0], other[0]))
+    return _corrected(same, BANDS * ROWS)
+
+
+def fine_estimate(one: Column, other: Column) -> Column:
+    """The same from two longer signatures."""
+    same = F.aggregate(F.zip_with(one, other, _equal_minima), F.lit(0), lambda total, value: total + value)
+    return _corrected(same, FINE)
+
+
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """Longer signatures (digest, fine) of full sets, by permutations of their own."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.RandomState(21)
+        factors = (random.randint(0, 2**32, FINE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+        shifts = random.randint(0, 2**32, FINE, dtype=np.uint64).astype(np.uint32)
+        for batch in batches:
+            found = [packed_bits(minima(np.frombuffer(v.as_buffer(), np.uint64), factors, shifts)) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["digest", "fine"])
+
+    return sets.select("digest", "hashes").mapInArrow(run, "digest binary, fine array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -230,8 +264,13 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
             # that no other set left has are missing in any intersection and are in every union.
             left_sets = sets.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["digest"])
             alone = stored(own_shingles(left_sets), "minhash-own")
-            wide = current.join(signatures.join(alone, "digest", "left").na.fill(0, ["own"]), "doc_id")
-            columns = ("doc_id", "component", "bands", "signature", "n_shingles", "own")
+            fine = stored(fine_signatures(left_sets), "minhash-fine")
+            known = signatures.join(fine, "digest").join(alone, "digest", "left").na.fill(0, ["own"])
+            wide = current.join(known, "doc_id")
+            columns = ("doc_id", "component", "bands", "signature", "n_shingles", "own", "fine")
+            chance = percent / 100 + (1 - percent / 100) / 2**BITS
+            error = math.sqrt(chance * (1 - chance) / FINE) / (1 - 1 / 2**BITS)
+            least_fine = percent / 100 - FINE_ERRORS * error
             one = wide.select("band", "key", *(F.col(c).alias(f"_low_{c}") for c in columns))
             two = wide.select(
                 F.col("band").alias("_band"), F.col("key").alias("_key"), *(F.col(c).alias(f"_high_{c}") for c in columns)
@@ -245,7 +284,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
                 two, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))
                 & (F.col("_low_doc_id") < F.col("_high_doc_id")) & (F.col("_low_component") != F.col("_high_component"))
                 & (100 * most >= percent * union) & close("_low_signature", "_high_signature")
-                & (common == F.col("band") + 1),
+                & (common == F.col("band") + 1) & (fine_estimate(F.col("_low_fine"), F.col("_high_fine")) >= least_fine),
             ).select(F.col("_low_doc_id").alias("low"), F.col("_high_doc_id").alias("high")).distinct()
         new = stored(confirmed(near, sets, percent).distinct(), f"minhash-links-{number}")
         if new.take(1):
