@@ -1,14 +1,17 @@
-"""Substring dedup by hashing units of lines.
+"""Substring dedup by hashing lines, and sentences and units within them.
 
-A unit is a run of words within a line that begins with any word and goes on while words do not
-begin with a capital: a sentence, or the rest of one into which a passage was set.  Units are
-normalised (A-Z lower, single spaces) and hashed to 128 bits.  Units of at least ``MIN_WORDS`` words are
-grouped by digest over the whole corpus; the occurrence of the smallest document and place
-stays, the others go.  Shorter units go only between two units of the same line or passage that go.
-What goes is returned as spans of the original text, in code points.
+Every line with a word is hashed whole, whatever its length, script and case.  For passages set into a line two kinds
+of runs of words are hashed besides: sentences (up to a sentence mark) and units, which begin with any word and go on
+while words do not begin with a capital: a sentence, or the rest of one into which a passage was set.
+Runs within a line are hashed if they have at least ``MIN_WORDS`` words (of scripts without blanks, two signs are a word).
+Runs are normalised (A-Z lower, single spaces), hashed to 128 bits and grouped by digest over the whole corpus; the
+occurrence of the smallest document and place stays, the others go.  Shorter pieces also go between two
+that go, unless nothing else of their line goes.  What goes is returned as spans of the original text, in code points.
+
+Not found: a passage within a line that neither a capital nor a sentence mark sets apart from what is around it.
 
 Each task sends one row per digest and batch to the grouping: later occurrences in the same batch are
-known at once.  So a unit that a third of all documents hold is a few rows per task, and no
+known at once.  So a line that a third of all documents hold is a few rows per task, and no
 group is gathered.  Texts are shuffled once, to meet the list of their own places.
 
 Defined cases: null text is empty; rows with a null id stay whole and count for nobody; rows that repeat an id
@@ -40,29 +43,84 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _lower = str.maketrans(UPPER, LOWER)
 _unit = re.compile(UNIT)
 _blanks = re.compile(f"[{BLANK}]+")
-
-
-def units(text: str) -> list[tuple[int, int, str]]:
-    """First code point, end and normalised text of every unit."""
-    return [
-        (m.start(), m.end(), _blanks.sub(" ", m.group()).translate(_lower)) for m in _unit.finditer(text)
-    ]
+CLOSING = "\"')\\]»”’」』）"
+_mark = re.compile(f"[.!?…][{CLOSING}]*(?=[{BLANK}]|$)|[。！？][。！？{CLOSING}]*")
+# Thai to Khmer, Japanese, Chinese and their extensions: words are not set apart by blanks.
+_unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def normal(text: str) -> str:
+    return _blanks.sub(" ", text).translate(_lower)
+
+
+def size(run: str) -> int:
+    """Words of a normalised run; two signs of scripts without blanks count as one."""
+    return run.count(" ") + 1 + (0 if run.isascii() else len(_unspaced.findall(run)) // 2)
+
+
+def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool]]]:
+    """Pieces (first code point, end), and the runs of pieces (first, end, is a line) that are looked up, in order.
+
+    A piece ends where a unit or a sentence ends, so that every run is whole pieces.
+    """
+    pieces: list[tuple[int, int]] = []
+    found: dict[tuple[int, int], bool] = {}
+    line = sentence = 0
+    at = None
+    for m in _unit.finditer(text):
+        first, after = m.span()
+        if at is not None and "\n" in text[at:first]:
+            found[sentence, len(pieces)] = False
+            found[line, len(pieces)] = True
+            line = sentence = len(pieces)
+        unit = len(pieces)
+        for mark in _mark.finditer(text, first, after):
+            if first < mark.end():
+                pieces.append((first, mark.end()))
+                found[sentence, len(pieces)] = found.get((sentence, len(pieces)), False)
+                sentence = len(pieces)
+                first = mark.end()
+                while first < after and text[first] in " \t\x0b\f\r":
+                    first += 1
+        if first < after:
+            pieces.append((first, after))
+        found[unit, len(pieces)] = False
+        at = after
+    if pieces:
+        found[sentence, len(pieces)] = False
+        found[line, len(pieces)] = True
+    return pieces, sorted((a, b, whole) for (a, b), whole in found.items() if a < b)
+
+
+def looked_up(text: str, min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bool, str]]]:
+    """Pieces, and the runs of them (first, end, is a line, normalised text) that are hashed."""
+    pieces, found = runs(text)
+    keyed = ((a, b, whole, normal(text[pieces[a][0] : pieces[b - 1][1]])) for a, b, whole in found)
+    return pieces, [run for run in keyed if run[2] or size(run[3]) >= min_words]
 
 
 def cut(text: str, places: set[int], min_words: int) -> tuple[list[tuple[int, int]], int]:
-    """Spans to remove (maximal, with the blanks inside) and the number of units in them."""
-    found = units(text)
-    gone = [place in places for place in range(len(found))]
-    long = [unit.count(" ") + 1 >= min_words for _, _, unit in found]
-    # Short units between two long ones that go were part of the passage.
+    """Spans to remove (maximal, with the blanks inside) and the number of pieces in them."""
+    pieces, found = looked_up(text, min_words)
+    gone, long, line = [False] * len(pieces), [False] * len(pieces), [0] * len(pieces)
+    for place, (a, b, whole, run) in enumerate(found):
+        if place in places:
+            gone[a:b] = [True] * (b - a)
+        if whole:
+            line[a:b] = [a] * (b - a)
+        if size(run) >= min_words and not (whole and b - a > 1):
+            long[a:b] = [True] * (b - a)
+    # Short pieces between two long ones that go were part of the passage, but not a line of which nothing goes.
+    touched = {line[place] for place, is_gone in enumerate(gone) if is_gone}
     last = None
     for place, is_long in enumerate(long):
         if is_long:
             if last is not None and gone[last] and gone[place]:
-                gone[last + 1 : place] = [True] * (place - last - 1)
+                for between in range(last + 1, place):
+                    gone[between] = gone[between] or line[between] in touched
             last = place
     spans: list[tuple[int, int]] = []
-    for place, (first, after, _) in enumerate(found):
+    for place, (first, after) in enumerate(pieces):
         if gone[place]:
             if place and gone[place - 1]:
                 spans[-1] = (spans[-1][0], after)
@@ -72,7 +130,7 @@ def cut(text: str, places: set[int], min_words: int) -> tuple[list[tuple[int, in
 
 
 def later_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and place of every unit that occurs earlier, in a smaller document or before it."""
+    """doc_id and place of every run that occurs earlier, in a smaller document or before it."""
     schema = "doc_id long, place int, digest binary, sent boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +138,12 @@ def later_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             first: dict[bytes, tuple[int, int]] = {}
             rows: list[tuple[int, int, bytes]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                for place, (_, _, unit) in enumerate(units(text)):
-                    if unit.count(" ") + 1 >= min_words:
-                        digest = hashlib.md5(unit.encode(), usedforsecurity=False).digest()
-                        rows.append((doc_id, place, digest))
-                        at = first.get(digest)
-                        if at is None or (doc_id, place) < at:
-                            first[digest] = (doc_id, place)
+                for place, (_, _, _, found) in enumerate(looked_up(text, min_words)[1]):
+                    digest = hashlib.md5(found.encode(), usedforsecurity=False).digest()
+                    rows.append((doc_id, place, digest))
+                    at = first.get(digest)
+                    if at is None or (doc_id, place) < at:
+                        first[digest] = (doc_id, place)
             if rows:
                 sent = [first[digest] == (doc_id, place) for doc_id, place, digest in rows]
                 ids, places, digests = zip(*rows)
@@ -105,7 +162,7 @@ def later_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, kept text, removed spans of the original text, and counts of units."""
+    """doc_id, kept text, removed spans of the original text, and counts of pieces (units, cut at sentence marks)."""
     places = later_places(docs, min_words).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     needed = docs.select(F.col("doc_id").cast("long"), "text")
     joined = needed.join(places, "doc_id", "left").select("doc_id", "text", "places")

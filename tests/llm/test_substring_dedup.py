@@ -25,3 +25,41 @@ def test_edges(corpus):
     rows = sorted((str(r.doc_id), r.kept) for r in sd.dedup_units(docs).collect())
     assert rows == sorted([("1", ""), ("2", ""), ("3", PASSAGE), ("3", PASSAGE), ("None", PASSAGE), ("4", ""), ("5", "x" * 10_000)])
     assert sd.dedup_units(make_docs(corpus, [])).count() == 0
+
+
+def kept_texts(spark, texts):
+    rows = {r.doc_id: r for r in sd.dedup_units(make_docs(spark, texts).repartition(3)).collect()}
+    for doc_id, text in enumerate(texts):
+        assert len(text) == len(rows[doc_id].kept) + sum(s.after - s.first for s in rows[doc_id].spans)
+    return [rows[n].kept for n in range(len(texts))]
+
+
+def test_lines_of_any_script_and_case(corpus):
+    lines = [
+        "ALL RIGHTS RESERVED", "The Old Man And The Sea", "Anna Maria Schmidt", "Der Hund Lief Zum Haus", "Click here.",
+        "今天天气很好", "これは短い行です。", "สวัสดีครับ", "привет мир", "x",
+    ]
+    texts = [f"first {n} of its kind\n{line}\nend {n} one" for n, line in enumerate(lines)]
+    texts += [f"second {n} of its kind\n  {line} \nend {n} two" for n, line in enumerate(lines)]
+    kept = kept_texts(corpus, texts)
+    assert kept[: len(lines)] == texts[: len(lines)]
+    assert kept[len(lines) :] == [f"second {n} of its kind\n   \nend {n} two" for n in range(len(lines))]
+
+
+def test_passages_within_lines_of_any_script_and_case(corpus):
+    passages = [
+        "these words come again and again in lower case.", "Der Hund lief mit der Katze über die Straße zum Haus.",
+        "THE WHOLE SENTENCE IS IN CAPITALS AND REPEATED.", "今天的天气非常好所以我们去公园散步。",
+    ]
+    for passage in passages:
+        gap = "" if passage[0] == "今" else " "
+        texts = [f"some text.{gap}{passage}{gap}more of it", f"unlike it。{gap}{passage}{gap}something else", f"a unique {passage[:7]} line"]
+        kept = kept_texts(corpus, texts if gap else [t.replace(".", "。") for t in texts])
+        assert kept[1] == f"unlike it。{gap}{gap}something else"
+        assert kept[2] == texts[2]
+
+
+def test_unique_line_between_repeated_ones_stays(corpus):
+    long = "here is a line with more than six words"
+    texts = [f"{long}\n{long} too", f"{long}\nonly here\n{long} too"]
+    assert kept_texts(corpus, texts)[1] == "\nonly here\n"
