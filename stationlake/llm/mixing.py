@@ -29,14 +29,15 @@ from stationlake.session import stored
 
 DOMAINS = ("good", "poor", "toxic")
 # Tokens wanted of each domain, as shares of what the corpus is expected to have of it.
-TARGETS = {"good": 1.02, "poor": 0.5, "toxic": 0.5}
+TARGETS = {"good": 1.02, "poor": 0.25, "toxic": 0.1}
 BUCKETS = 1 << 18
 PRIOR_WORDS = 50.0
 CLEAR = 4.0  # standard deviations between a word's share in a domain and overall
 EVIDENCE = 60  # words of full weight; more count by the root of their number
 STEPS_STORED = 12
-MOST_STEPS = 60
+MOST_STEPS = 240
 CLOSE = 1e-5
+STILL = 1e-9
 
 
 def words(text: Column) -> Column:
@@ -120,7 +121,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, evidence: DataFrame) -> DataF
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The rows with the column ``rate``; ``targets`` are shares of each domain's expected tokens.
+    """The rows with ``rate`` and ``miss_<domain>``; ``targets`` are shares of each domain's expected tokens.
+
+    The misses, the same in all rows, are what the rates give of a domain's tokens above (or below) its target, as shares
+    of the tokens expected of it: near 0 where the targets are met, and not where no rates meet them or the steps ran out.
 
     A step's gradient is scaled by the domains' overlap among the documents whose rate is not yet 0,
     so a few steps suffice also where posteriors are not sharp.
@@ -134,15 +138,20 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
     current = stored(soft, "mix-posteriors").withColumn("rate", F.lit(1.0))
     natural = current.agg(*(total(F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
     rate, pending = F.col("rate"), 0
-    for _ in range(MOST_STEPS):
+    before: list[float] = []
+    for step in range(MOST_STEPS + 1):
         active = F.when(rate > 0, 1.0).otherwise(0.0)
         now = current.agg(
             *(total(F.col(f"p_{d}") * rate).alias(d) for d in DOMAINS),
             *(total(F.col(f"p_{a}") * F.col(f"p_{b}") * active).alias(f"{a}_{b}") for a, b in pairs),
         ).first()
         misses = [now[d] - targets[d] * natural[d] for d in DOMAINS]
-        if all(abs(m) <= CLOSE * (natural[d] + 1) for m, d in zip(misses, DOMAINS, strict=True)):
+        if step == MOST_STEPS or all(abs(m) <= CLOSE * (natural[d] + 1) for m, d in zip(misses, DOMAINS, strict=True)):
+            break
+        # A step that moves no miss has arrived: no rates come closer to targets that cannot be met.
+        if before and all(abs(m - b) <= STILL * (natural[d] + 1) for m, b, d in zip(misses, before, DOMAINS, strict=True)):
             break
+        before = misses
         overlap = np.array([[now[f"{min(a, b)}_{max(a, b)}"] for b in DOMAINS] for a in DOMAINS])
         slopes = np.linalg.solve(overlap + np.eye(len(DOMAINS)) * (1e-6 * np.trace(overlap) + 1e-9), misses)
         fall = sum((F.col(f"p_{d}") * float(s) for d, s in list(zip(DOMAINS, slopes, strict=True))[1:]), F.col(f"p_{DOMAINS[0]}") * float(slopes[0]))
@@ -150,11 +159,12 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> DataFrame:
         if pending == STEPS_STORED:
             current = stored(current.withColumn("rate", rate), "mix-rates")
             rate, pending = F.col("rate"), 0
-    return current.withColumn("rate", rate)
+    shares = {f"miss_{d}": F.lit(m / natural[d] if natural[d] else 0.0) for m, d in zip(misses, DOMAINS, strict=True)}
+    return current.withColumns({"rate": rate, **shares})
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, posteriors and the fitted rate of every document."""
+    """doc_id, n_tokens, posteriors and the fitted rate of every document, and the remaining miss of each domain."""
     return fit_rates(posteriors(docs, labels, fit_classifier(docs, labels)), targets)
 
 

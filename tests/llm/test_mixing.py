@@ -58,3 +58,16 @@ def test_edges(corpus):
     assert len(rows) == 4 and all(r.p_good > 0.99 for r in rows)
     assert mx.mix(make_docs(corpus, []), make_labels(corpus, [(1, 1, 0)])).count() == 0
     assert mx.mix(docs, make_labels(corpus, [(1, 0, None), (1, 1, 1), (None, 1, 1)])).count() == 4
+
+
+def test_misses_are_returned(corpus):
+    assert mx.TARGETS["poor"] <= 0.25 and mx.TARGETS["toxic"] <= 0.1
+    docs, labels = make_corpus(corpus)
+    met = mx.mix(docs, labels).first()
+    assert all(abs(met[f"miss_{d}"]) < 1e-3 for d in mx.DOMAINS)
+    # One posterior for all documents: one rate cannot meet three targets.
+    soft = corpus.createDataFrame([(n, 10, 0.5, 0.3, 0.2) for n in range(4)], "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    rows = mx.fit_rates(soft, {"good": 1.0, "poor": 0.25, "toxic": 0.1}).collect()
+    for domain, target in (("good", 1.0), ("poor", 0.25), ("toxic", 0.1)):
+        assert abs(rows[0][f"miss_{domain}"] - (rows[0].rate - target)) < 1e-6
+    assert max(abs(rows[0][f"miss_{d}"]) for d in mx.DOMAINS) > 0.1
