@@ -17,7 +17,9 @@ from stationlake.operators.selection import periods_overlap
 from stationlake.session import settings
 from stationlake.sources.files import list_files, open_stream
 
-PROBE_BYTES = 65_536
+CHUNK_BYTES = 1 << 20
+# Bytes that windows-1252 leaves undefined, as ISO-8859-1 reads them.
+UNDEFINED = "[\\x81\\x8d\\x8f\\x90\\x9d]"
 MOST_TASKS = 10_000
 DELIMITERS = ";,\t|"
 # The charset names Spark and Python use for the two encodings archives have.
@@ -58,24 +60,28 @@ def select_archives(
 
 
 def _describe_header(path: str) -> dict:
+    decoder, header, ended, encoding = codecs.getincrementaldecoder("utf-8")(), b"", False, "utf-8-sig"
     with open_stream(path, "gzip") as stream:
-        sample = stream.read(PROBE_BYTES)
-    for encoding in ENCODINGS:
-        try:
-            # The sample may end inside a character, hence no final flag.
-            text = codecs.getincrementaldecoder(encoding)().decode(sample, len(sample) < PROBE_BYTES)
-            break
-        except UnicodeDecodeError:
-            continue
-    else:
-        raise UnicodeError("could not identify archive encoding")
-    lines = re.split(r"\r\n|\n|\r", text, maxsplit=1)
-    if not lines[0].strip():
+        more = True
+        while more:
+            chunk = stream.read(CHUNK_BYTES)
+            more = bool(chunk)
+            if not ended:
+                end = re.search(rb"[\r\n]", chunk)
+                header, ended = header + chunk[: end.start() if end else None], end is not None
+            try:
+                decoder.decode(chunk, not chunk)
+            except UnicodeDecodeError:
+                encoding = "cp1252"
+            if encoding == "cp1252" and ended:
+                break
+    line = header.decode(encoding)
+    if not line.strip():
         raise ValueError("archive has no header")
-    delimiter = max(DELIMITERS, key=lines[0].count)
-    if delimiter not in lines[0]:
+    delimiter = max(DELIMITERS, key=line.count)
+    if delimiter not in line:
         raise ValueError("could not detect CSV delimiter")
-    columns = [field.strip('"') for field in lines[0].split(delimiter)]
+    columns = [field.strip('"') for field in line.split(delimiter)]
     if not all(columns):
         raise ValueError("header is empty or contains an unnamed column")
     return {"encoding": encoding, "delimiter": delimiter, "columns": columns}
@@ -95,9 +101,10 @@ def _probe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def probe_headers(archives: DataFrame) -> DataFrame:
-    """Encoding, delimiter and header of each archive from its first 64 KiB.
+    """Encoding, delimiter and header of each archive.
 
-    Only that prefix is read, by tasks spread over the archives.
+    An archive is UTF-8 if all its bytes are, and windows-1252 otherwise; it streams through a task in
+    chunks up to the first byte that decides.
     """
     listed = archives.select(
         "path", "filename", "department", "period_start", "period_end", "size", "mtime_ns"
@@ -157,14 +164,21 @@ def one_file_per_task(spark: SparkSession):
 
 def _text_rows(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, columns: list[str]) -> DataFrame:
     """Numbered rows of archives that share encoding, delimiter and header."""
-    lines = spark.read.text(paths)
+    lines = spark.read.text(paths).withColumn("undecodable", F.lit(False))
     if encoding != "utf-8-sig":
-        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), ENCODINGS[encoding]))
+        content = F.col("value").cast("binary")
+        latin = F.decode(content, "ISO-8859-1")
+        bad = latin.rlike(UNDEFINED)
+        lines = lines.select(
+            F.when(bad, latin).otherwise(F.decode(F.when(~bad, content), ENCODINGS[encoding])).alias("value"),
+            bad.alias("undecodable"), "_metadata",
+        )
     counter = F.monotonically_increasing_id().bitwiseAND((1 << LINE_COUNTER_BITS) - 1)
     numbered = lines.select(
         F.col("_metadata.file_name").alias("source_file"),
         (counter + 1).alias("source_row_number"),
         "value",
+        "undecodable",
     ).where("source_row_number > 1")
     fields = [f"c{n}" for n in range(len(columns))]
     options = {
@@ -177,7 +191,7 @@ def _text_rows(spark: SparkSession, paths: list[str], encoding: str, delimiter:
     return parsed.select(
         "source_file",
         "source_row_number",
-        (F.col("row.corrupt").isNotNull() | (F.trim("value") == "")).alias("is_malformed"),
+        (F.col("undecodable") | F.col("row.corrupt").isNotNull() | (F.trim("value") == "")).alias("is_malformed"),
         *[F.col(f"row.c{n}").alias(name) for name, n in position.items()],
     )
 

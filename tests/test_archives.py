@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 
@@ -207,3 +208,21 @@ def test_line_numbers_do_not_follow_session_settings(spark, folder):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionNum")
     assert sorted({r.source_row_number for r in rows}) == [2, 3] and len(rows) == 12
+
+
+def test_encoding_is_decided_over_the_whole_archive(spark, folder):
+    lines = ["NUM_POSTE;NOM"] + [f"{n};PLAIN NAME" for n in range(9000)]
+    write_gzip(folder / "raw" / "H_01_2020-2024.csv.gz", [*lines, "9;Café"], "cp1252")
+    write_gzip(folder / "raw" / "H_02_2020-2024.csv.gz", [*lines, "9;Café"])
+    with gzip.open(write_gzip(folder / "raw" / "H_03_2020-2024.csv.gz", lines, "cp1252"), "ab") as output:
+        output.write(b"8;Caf\xe9\n9;bad \x81 byte\n")
+    wide = [f"C{n:06d}" for n in range(12_000)]
+    write_gzip(folder / "wide" / "H_04_2020-2024.csv.gz", [";".join(wide), "é;1"], "cp1252")
+    headers = probe(spark, folder / "raw")
+    assert {r.department: r.encoding for r in headers.collect()} == {"01": "cp1252", "02": "utf-8-sig", "03": "cp1252"}
+    rows = raw.stage_archives(spark, headers, str(folder / "stage")).where("source_row_number > 9001")
+    found = {(r.department, r.source_row_number): (r.NOM, r.is_malformed) for r in rows.collect()}
+    assert found[("01", 9002)] == found[("02", 9002)] == found[("03", 9002)] == ("Café", False)
+    assert found[("03", 9003)][1] and len(found) == 4
+    row = probe(spark, folder / "wide").first()
+    assert row.columns == wide and row.encoding == "cp1252"
