@@ -10,26 +10,29 @@ from pyspark.sql.types import StructField, StructType
 
 
 def add_columns(
-    frame: DataFrame, inputs: list[str], fields: list[StructField], compute: Callable[..., list[pa.Array]]
+    frame: DataFrame, inputs: list[str], fields: list[StructField], compute: Callable[..., list[pa.Array]],
+    keep_inputs: bool = True,
 ) -> DataFrame:
     """The frame with new columns computed per Arrow batch from some of its columns.
 
     ``compute`` gets the input columns of a batch and returns one array per field.  A
-    column of the frame with the name of a new field is replaced.
+    column of the frame with the name of a new field is replaced.  Without ``keep_inputs`` the
+    input columns do not come back, so long texts travel to the Python worker only.
     """
     new = {f.name for f in fields}
     if new & set(inputs):
         raise ValueError("an input column cannot be replaced")
     base = frame.drop(*new)
-    schema = StructType(base.schema.fields + fields)
     places = [base.columns.index(name) for name in inputs]
+    back = [at for at in range(len(base.columns)) if keep_inputs or at not in places]
+    schema = StructType([base.schema.fields[at] for at in back] + fields)
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 made = compute(*[batch.column(at) for at in places])
-                yield pa.RecordBatch.from_arrays(list(batch.columns) + made, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(at) for at in back] + made, names=names)
 
     return base.mapInArrow(run, schema)
 

@@ -14,6 +14,7 @@ from stationlake.llm import (  # noqa: F401
     registry,
     substring_dedup,
     suffix_dedup,
+    token_counts,
 )
 
 
