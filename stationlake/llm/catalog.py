@@ -6,6 +6,7 @@ from stationlake.llm import (  # noqa: F401
     bpe,
     chat,
     fingerprints,
+    hard_negatives,
     language_model,
     line_dedup,
     minhash,
