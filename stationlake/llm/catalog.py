@@ -13,6 +13,7 @@ from stationlake.llm import (  # noqa: F401
     mixing,
     quality_rules,
     registry,
+    spelling,
     substring_dedup,
     suffix_dedup,
     token_counts,
