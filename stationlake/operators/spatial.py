@@ -2,9 +2,9 @@
 
 Everything joins on computed keys.  Polygons become crossings per grid latitude
 (a scan line), so cells are generated between two crossings instead of being
-tested against every edge.  Nearest stations are found in cells whose size
-follows the local station density, so a crowded area does not pair every point
-with every station around it.
+tested against every edge.  Nearest stations are found by going down a pyramid of
+cells with station counts, which bounds how far a point's neighbours can be, so
+neither a crowded place nor a crowd within reach pairs points with all its stations.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ NEIGHBOURS = 8
 RADIUS_KM = 75.0
 MINIMUM_STATIONS = 3
 SAME_PLACE_KM = 0.001
-FINEST_LEVEL = 8
 
 
 # --------------------------------------------------------------------- polygons
@@ -125,58 +124,49 @@ def unique_cells(cells: DataFrame, step: float = GRID_DEGREES) -> DataFrame:
 
 
 # ------------------------------------------------------------- nearest stations
-# Per level: the distance in km that a 3x3 block covers around any point of its
-# middle cell, the sine of half that angle, and the height of a cell in degrees.
-_REACH = [RADIUS_KM / 2**level for level in range(FINEST_LEVEL + 1)]
-_HALF_SINE = [math.sin(reach / (2 * EARTH_RADIUS_KM)) for reach in _REACH]
-_HEIGHT = [math.degrees(reach / EARTH_RADIUS_KM) * (1 + 1e-9) for reach in _REACH]
-
-
-def _of_level(values: list[float], level: Column) -> Column:
-    return F.get(F.lit(values), level)
-
-
-def _columns_in_row(level: Column, row: Column) -> Column:
-    """Number of equal cells around a latitude row, each at least a reach wide
-    at the highest latitude of the row and the rows next to it."""
-    height = _of_level(_HEIGHT, level)
-    # The middle of the row is nearest the farther of both outer edges.
-    farthest = F.least(F.abs((row + 0.5) * height - 90) + height * 1.5, F.lit(90.0))
-    ratio = _of_level(_HALF_SINE, level) / F.cos(F.radians(farthest))
-    width = F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)
-    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
-
-
-def _column_of(lon: Column, around: Column) -> Column:
-    turn = F.pmod(lon, F.lit(360.0)) / 360.0
-    return F.least(F.floor(turn * around), around - 1)
-
-
-def _row_of(lat: Column, level: Column) -> Column:
-    return F.floor((lat + 90) / _of_level(_HEIGHT, level))
-
-
-def _with_cell(frame: DataFrame) -> DataFrame:
-    """Cell of LAT/LON at the row's ``level``, and the cells around its row."""
-    level = F.col("level")
-    placed = frame.withColumn("cell_row", _row_of(F.col("LAT"), level))
-    counted = placed.withColumn("around", _columns_in_row(level, F.col("cell_row")))
-    return counted.withColumn("cell_column", _column_of(F.col("LON"), F.col("around")))
+# Cells are cubes around the earth's centre, so poles and the date line are places like any other.  Each
+# level cuts a cube into 8 x 8 x 8; the coarsest is wider than a search reaches to both sides, so eight cubes hold it.
+CUBE_BITS = 3
+LEVELS = 5
+COARSEST_KM = 160.0
+_EDGES = [COARSEST_KM / 2 ** (CUBE_BITS * level) for level in range(LEVELS)]
+# Distances are compared as straight lines through the earth; a millimetre covers rounding.
+_REACH = 2 * EARTH_RADIUS_KM * math.sin(RADIUS_KM / (2 * EARTH_RADIUS_KM)) + 1e-6
+_AXIS_BITS = 20
+_AXIS_MASK = (1 << _AXIS_BITS) - 1
+_AXES = ("x", "y", "z")
+
+
+def _with_axes(frame: DataFrame) -> DataFrame:
+    """Straight coordinates in km of LAT/LON, from the corner of a cube around the earth."""
+    lat, lon = F.radians("LAT"), F.radians("LON")
+    straight = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    return frame.withColumns({axis: (value + 1) * EARTH_RADIUS_KM for axis, value in straight.items()})
+
+
+def _cell(x: Column, y: Column, z: Column, edge: float) -> Column:
+    """Number of the cube of a level that holds a place."""
+    return sum(
+        (F.shiftleft(F.floor(value / edge).cast("bigint"), _AXIS_BITS * n) for n, value in enumerate((y, x), 1)),
+        F.floor(z / edge).cast("bigint"),
+    )
 
 
-def _cell_diameter(level: Column, row: Column, around: Column) -> Column:
-    """Upper bound in km of the distance between two places in one cell."""
-    height = _of_level(_HEIGHT, level)
-    # Latitude of the row that is nearest the equator, where cells are widest.
-    lowest = F.greatest(F.abs((row + 0.5) * height - 90) - height / 2, F.lit(0.0))
-    turn = F.least(F.lit(math.pi) / around, F.lit(math.pi / 2))
-    widest = F.cos(F.radians(lowest)) * F.sin(turn)
-    tallest = F.sin(F.radians(height) / 2)
-    chord = tallest * tallest + widest * widest
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+def _parent(cell: Column) -> Column:
+    """The cube of the next coarser level around a cube."""
+    parts = (F.shiftright(F.shiftright(cell, _AXIS_BITS * n).bitwiseAND(_AXIS_MASK), CUBE_BITS) for n in range(3))
+    return sum((F.shiftleft(part, _AXIS_BITS * n) for n, part in enumerate(parts)), F.lit(0).cast("bigint"))
 
 
-_CELL = ["level", "cell_row", "cell_column"]
+def _cube_distances(cell: Column, edge: float) -> tuple[Column, Column]:
+    """Squares of the least and the greatest distance from a row's place to any place of a cube."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for n, axis in enumerate(("z", "y", "x")):
+        start = F.shiftright(cell, _AXIS_BITS * n).bitwiseAND(_AXIS_MASK) * edge - F.col(axis)
+        gap = F.greatest(start, -start - edge, F.lit(0.0))
+        reach = F.greatest(start + edge, -start)
+        near, far = near + gap * gap, far + reach * reach
+    return near, far
 
 
 def station_sites(stations: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -193,29 +183,88 @@ def station_sites(stations: DataFrame, neighbours: int = NEIGHBOURS) -> DataFram
     return ranked.where(F.col("n") <= neighbours).drop("n")
 
 
-def _levels(first: int) -> Column:
-    return F.explode(F.sequence(F.lit(first), F.lit(FINEST_LEVEL)))
+def site_pyramid(sites: DataFrame) -> list[DataFrame]:
+    """Per level but the finest: every occupied cube with its occupied cubes of the next level and their counts.
+
+    A cube has at most 512 children, so a row is bounded however crowded it is.
+    """
+    finest = _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[-1])
+    counts = _with_axes(sites).groupBy(finest.alias("cell")).agg(F.count("*").alias("sites"))
+    levels: list[DataFrame] = []
+    for _ in range(LEVELS - 1):
+        parents = counts.groupBy(_parent(F.col("cell")).alias("cell")).agg(
+            F.collect_list(F.struct("cell", "sites")).alias("children"), F.sum("sites").alias("sites")
+        )
+        levels.insert(0, parents.select("cell", "children"))
+        counts = parents.select("cell", "sites")
+    return levels
+
+
+def _within_bound(children: Column, edge: float, neighbours: int) -> Column:
+    """The cubes that may hold one of the nearest sites of a row's place.
+
+    Cubes by their farthest corner: once they hold enough sites together, no nearest site
+    is farther than that corner, and cubes that begin beyond it are out.
+    """
+
+    def measured(child: Column) -> Column:
+        near, far = _cube_distances(child["cell"], edge)
+        return F.struct(far.alias("far"), near.alias("near"), child["cell"].alias("cell"), child["sites"].alias("sites"))
+
+    reach = F.lit(_REACH * _REACH)
+    close = F.filter(F.transform(children, measured), lambda c: c["near"] <= reach)
+    bound = F.aggregate(
+        F.array_sort(close),
+        F.struct(F.lit(0).cast("bigint").alias("seen"), reach.alias("far")),
+        lambda known, c: F.when(known["seen"] >= neighbours, known).otherwise(
+            F.struct(
+                (known["seen"] + c["sites"]).alias("seen"),
+                F.when(known["seen"] + c["sites"] >= neighbours, F.least(c["far"], reach)).otherwise(reach).alias("far"),
+            )
+        ),
+        lambda known: F.pow(F.sqrt(known["far"]) + 1e-6, F.lit(2.0)),
+    )
+    # The bound is the same for all cubes of the row: it travels as an array of one.
+    kept = F.transform(F.array(F.struct(close.alias("close"), bound.alias("bound"))), lambda both: F.transform(
+        F.filter(both["close"], lambda c: c["near"] <= both["bound"]), lambda c: c["cell"]
+    ))
+    return F.flatten(kept)
 
 
-def _search_level(points: DataFrame, sites: DataFrame, key: str, neighbours: int) -> DataFrame:
-    """Per point the finest level whose 3x3 block surely holds its neighbours.
+def candidate_cells(
+    points: DataFrame, sites: DataFrame, key: str = "point_id", neighbours: int = NEIGHBOURS
+) -> DataFrame:
+    """Per point the finest cubes that may hold its nearest sites within the radius.
 
-    When the point's own cell at some level has enough sites, none of the nearest
-    is farther than that cell's diameter.  Points without such a cell search at
-    level 0, whose reach is the whole search radius.
+    From level to level a point keeps the cubes within the distance that its nearest sites cannot exceed, and goes on
+    with their children.  Cubes shrink as the bound does, so a point keeps a few of them at every level,
+    whether sites are dense where it is, or dense somewhere within the radius.
     """
-    crowded = (
-        _with_cell(sites.select("LAT", "LON", _levels(1).alias("level")))
-        .groupBy(*_CELL, "around")
-        .count()
-        .where(F.col("count") >= neighbours)
-        .withColumn("diameter", _cell_diameter(F.col("level"), F.col("cell_row"), F.col("around")))
-        .select(*_CELL, F.floor(F.log2(F.lit(RADIUS_KM) / F.col("diameter"))).alias("search"))
+    placed = _with_axes(points.select(key, "LAT", "LON").where("LAT IS NOT NULL AND LON IS NOT NULL"))
+    place = [key, "LAT", "LON", *_AXES]
+    around = placed
+    for axis in _AXES:
+        ends = F.array(F.col(axis) - _REACH, F.col(axis) + _REACH)
+        around = around.select("*", F.explode(ends).alias(f"c{axis}"))
+    # The corners of the reach lie in at most eight cubes, and all of the reach within those.
+    found = around.select(*place, _cell(F.col("cx"), F.col("cy"), F.col("cz"), _EDGES[0]).alias("cell")).distinct()
+    for level, parents in enumerate(site_pyramid(sites), 1):
+        met = found.join(parents, "cell").groupBy(*place).agg(F.flatten(F.collect_list("children")).alias("children"))
+        found = met.select(*place, F.explode(_within_bound(F.col("children"), _EDGES[level], neighbours)).alias("cell"))
+    return found
+
+
+def candidate_pairs(
+    points: DataFrame, sites: DataFrame, key: str = "point_id", neighbours: int = NEIGHBOURS
+) -> DataFrame:
+    """Points with the sites of their candidate cubes: few more than the nearest ones."""
+    located = _with_axes(sites).select(
+        _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[-1]).alias("cell"),
+        F.col("LAT").alias("site_lat"), F.col("LON").alias("site_lon"), "value",
+    )
+    return candidate_cells(points, sites, key, neighbours).join(located, "cell").select(
+        key, "LAT", "LON", "site_lat", "site_lon", "value"
     )
-    tried = _with_cell(points.select(key, "LAT", "LON", _levels(1).alias("level")))
-    found = tried.join(crowded, _CELL).groupBy(key).agg(F.max("search").alias("search"))
-    level = F.least(F.greatest(F.coalesce("search", F.lit(0)), F.lit(0)), F.lit(FINEST_LEVEL))
-    return points.join(found, key, "left").select(key, "LAT", "LON", level.cast("int").alias("level"))
 
 
 def nearest_stations(
@@ -223,29 +272,9 @@ def nearest_stations(
 ) -> DataFrame:
     """The nearest stations within the radius per point, ``place`` 1 the closest.
 
-    ``points`` has ``key``, LAT, LON; ``stations`` has LAT, LON, value.
+    ``points`` has a unique ``key``, LAT, LON; ``stations`` has LAT, LON, value.
     """
-    sites = station_sites(stations, neighbours)
-    offsets = F.array(*[F.lit(n) for n in (-1, 0, 1)])
-    located = _search_level(points.select(key, "LAT", "LON"), sites, key, neighbours)
-    blocks = located.withColumn("cell_row", _row_of(F.col("LAT"), F.col("level")))
-    blocks = blocks.withColumn(
-        "cell_row", F.explode(F.transform(offsets, lambda n: F.col("cell_row") + n))
-    )
-    blocks = blocks.withColumn("around", _columns_in_row(F.col("level"), F.col("cell_row"))).withColumn(
-        "cell_column",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    offsets, lambda n: F.pmod(_column_of(F.col("LON"), F.col("around")) + n, F.col("around"))
-                )
-            )
-        ),
-    )
-    placed = _with_cell(sites.select("LAT", "LON", "value", _levels(0).alias("level"))).select(
-        *_CELL, F.col("LAT").alias("site_lat"), F.col("LON").alias("site_lon"), "value"
-    )
-    pairs = blocks.join(placed, _CELL).withColumn(
+    pairs = candidate_pairs(points, station_sites(stations, neighbours), key, neighbours).withColumn(
         "distance_km", haversine_km(F.col("LAT"), F.col("LON"), F.col("site_lat"), F.col("site_lon"))
     )
     # The rank limit prunes every task's candidates before they are shuffled.

@@ -144,13 +144,27 @@ def test_nearest_stations_equal_brute_force(spark):
             assert estimates[n] == pytest.approx(mean, abs=1e-6)
 
 
-def test_crowded_points_search_small_cells(spark):
+def test_candidate_pairs_stay_near_the_neighbours_wanted(spark):
+    """Inside a crowd, 50 km away from one, and between scattered stations."""
     dice = random.Random(2)
-    crowd = [(n, 48.8 + dice.gauss(0, 0.02), 2.3 + dice.gauss(0, 0.02)) for n in range(400)]
-    points = spark.createDataFrame(crowd, "point_id int, LAT double, LON double")
-    sites = points.selectExpr("LAT", "LON", "cast(point_id as double) as value")
-    levels = spatial._search_level(points, spatial.station_sites(sites), "point_id", 8)
-    assert levels.where("level >= 3").count() > 300
+    crowd = [(48.8 + dice.gauss(0, 0.02), 2.3 + dice.gauss(0, 0.02)) for _ in range(5000)]
+    sites = spark.createDataFrame([(*place, 1.0) for place in crowd], "LAT double, LON double, value double")
+    inside = [(48.8 + dice.gauss(0, 0.02), 2.3 + dice.gauss(0, 0.02)) for _ in range(200)]
+    away = [(48.8 + 0.45 * math.sin(n), 2.3 + 0.68 * math.cos(n)) for n in range(200)]
+    for places in (inside, away):
+        points = spark.createDataFrame([(n, *p) for n, p in enumerate(places)], "point_id int, LAT double, LON double")
+        pairs = spatial.candidate_pairs(points, spatial.station_sites(sites))
+        counted = [r["count"] for r in pairs.groupBy("point_id").count().collect()]
+        assert len(counted) == 200 and min(counted) >= 8
+        assert sum(counted) <= 4 * 8 * 200
+
+
+def test_missing_places_find_nothing(spark):
+    points = spark.createDataFrame([(1, None, 2.0), (2, 48.0, 2.0), (3, 10.0, 10.0)], "point_id int, LAT double, LON double")
+    sites = spark.createDataFrame([(48.0, 2.1, 5.0), (None, 2.0, 1.0), (48.0, 2.0, None)], "LAT double, LON double, value double")
+    assert [(r.point_id, r.value) for r in spatial.nearest_stations(points, sites).collect()] == [(2, 5.0)]
+    estimates = {r.point_id: r.temperature for r in spatial.idw_estimate(points, sites).collect()}
+    assert estimates == {1: None, 2: None, 3: None}
 
 
 def test_surface_needs_three_stations_and_stays_in_the_area(spark, read):
