@@ -410,9 +410,8 @@ def context_view(t):
 def validate_selection(t):
     chosen = Selection("T", dt.date(2000, 1, 1), dt.date(2000, 12, 31), department="44")
     present = stations.stations_for_period(t.hist, chosen.start, chosen.end, department="44")
-    codes = tuple(row.NUM_POSTE for row in present.select("NUM_POSTE").take(5))
-    kept = views.retain_stations(t.hist, chosen, (*codes[:4], "missing"))
-    return t.spark.createDataFrame([(code,) for code in kept], "NUM_POSTE string")
+    wanted = present.select("NUM_POSTE").unionByName(t.spark.sql("SELECT 'missing' AS NUM_POSTE"))
+    return views.valid_stations(t.hist, chosen, wanted)
 
 
 @query(

@@ -89,7 +89,8 @@ def column_coverage(t):
     "column_dictionary",
     f"""
     WITH {COVERAGE_SQL},
-    d AS (SELECT DISTINCT upper(p_type) AS name, concat('type ', p_type) AS description FROM part WHERE p_size > 3)
+    d AS (SELECT DISTINCT CASE WHEN p_size > 3 THEN upper(p_type) ELSE concat('SMALL ', p_type) END AS name,
+                 concat('type ', p_type) AS description FROM part)
     SELECT g."column", description, description IS NOT NULL AS documented,
            CASE WHEN g."column" LIKE 'Q%' AND substr(g."column", 2) IN (SELECT "column" FROM g)
                 THEN substr(g."column", 2) END AS quality_for, archive_count, archive_percentage
@@ -98,8 +99,9 @@ def column_coverage(t):
     ("headers",),
 )
 def column_dictionary(t):
-    official = t.table("part").where("p_size > 3").select(
-        F.upper("p_type").alias("name"), F.concat(F.lit("type "), "p_type").alias("description")
+    name = F.when(F.col("p_size") > 3, F.upper("p_type")).otherwise(F.concat(F.lit("SMALL "), "p_type"))
+    official = t.table("part").select(
+        name.alias("name"), F.concat(F.lit("type "), "p_type").alias("description")
     ).distinct()
     result = profiling.column_dictionary(profiling.column_coverage(t.view("headers")), official)
     return rounded(result, "archive_percentage")
@@ -149,7 +151,7 @@ def column_profile(t):
     ("raw",),
 )
 def first_n_examples(t):
-    examples = profiling.first_examples(profiling.value_counts(t.raw))
+    examples = profiling.first_examples(profiling.column_summaries(t.raw))
     return examples.select("source_file", "column", "value", "place")
 
 
@@ -405,11 +407,13 @@ def dataset_status_counts(t):
 
 @query(
     "raw_only_departments",
-    "SELECT DISTINCT department FROM files_now WHERE department NOT IN (SELECT department FROM files_before WHERE period_start > 2005)",
+    """SELECT DISTINCT department FROM files_now WHERE department NOT IN
+       (SELECT CASE WHEN period_start > 2005 THEN department ELSE 'raw only' END FROM files_before)""",
     ("files_now", "files_before"),
 )
 def raw_only_departments(t):
-    materialised = t.view("files_before").where("period_start > 2005")
+    kept = F.when(F.col("period_start") > 2005, F.col("department")).otherwise("raw only")
+    materialised = t.view("files_before").withColumn("department", kept)
     return audits.raw_only_departments(t.view("files_now"), materialised)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions import timeops, values
@@ -24,7 +25,6 @@ from stationlake.operators.stations import (
     latest_attributes,
     period_counts,
 )
-from stationlake.schema import MAX_RESULT_ROWS
 
 DEFAULT_DAILY_HOURS = 18
 HOURS = range(24)
@@ -37,13 +37,23 @@ def selection_hours(selection: Selection):
     )
 
 
-def coverage_summary(facts: DataFrame, selection: Selection) -> DataFrame:
-    """Populated values against expected hours; repeats can exceed 100 %."""
+def coverage_summary(facts: DataFrame, selection: Selection, stations: DataFrame | None = None) -> DataFrame:
+    """Populated values against expected hours; repeats can exceed 100 %.
+
+    Of a whole network every known station is expected, silent or not: those of the station
+    dimension if it is given, else all that ever reported.
+    """
     rows = filter_observations(facts, selection)
     if selection.stations is None:
-        counted = rows.groupBy("NUM_POSTE").count().agg(
-            F.count("*").alias("stations"), F.coalesce(F.sum("count"), F.lit(0)).alias("observations")
+        known = facts if stations is None else stations
+        if selection.department is not None:
+            known = known.where(F.col("department") == selection.department)
+        none = F.lit(0).cast("bigint")
+        expecting = known.select("NUM_POSTE").distinct().agg(F.count("*").alias("stations"))
+        parts = expecting.withColumn("observations", none).unionByName(
+            rows.agg(F.count("*").alias("observations")).withColumn("stations", none)
         )
+        counted = parts.agg(F.sum("stations").alias("stations"), F.sum("observations").alias("observations"))
     else:
         counted = rows.agg(
             F.lit(len(selection.stations)).cast("bigint").alias("stations"),
@@ -69,47 +79,44 @@ def daily_hour_counts(facts: DataFrame, selection: Selection) -> DataFrame:
     )
 
 
-def _check_cells(selection: Selection, limit: int) -> None:
+def _check_cells(selection: Selection, limit: int | None) -> None:
     days = (selection.end - selection.start).days + 1
-    if days * 24 > limit:
-        raise ResultTooLarge(f"Coverage heatmap exceeds {limit:,} cells; choose a shorter period.")
+    if limit is not None and days * len(HOURS) > limit:
+        raise ResultTooLarge(f"{days} days are {days * len(HOURS):,} cells a station, more than the {limit:,} asked for")
 
 
-def coverage_grid(facts: DataFrame, selection: Selection, limit: int = MAX_RESULT_ROWS) -> DataFrame:
+def coverage_grid(facts: DataFrame, selection: Selection, limit: int | None = None) -> DataFrame:
     """Counts for every (date, hour) of a station, 0 where nothing was observed.
 
-    The observed days of a station (bounded by the period, which the cell limit
-    bounds) meet the missing ones in one row, so dates need no join.
+    Every observed day fills the gap up to the next one (the first also the gap before it), so a
+    long period needs neither a list of a station's days nor a join with all dates.
+    ``limit`` is a caller's bound on the cells of one station.
     """
     _check_cells(selection, limit)
-    dates = date_series(timeops.day_literal(selection.start), timeops.day_literal(selection.end))
-    empty = F.array(*[F.lit(0).cast("bigint") for _ in HOURS])
-    stations = (
-        daily_hour_counts(facts, selection)
-        .groupBy("NUM_POSTE")
-        .agg(F.collect_list(F.struct("observation_date", "counts")).alias("seen"))
-    )
-    missing = F.transform(
-        F.array_except(dates, F.transform("seen", lambda d: d["observation_date"])),
-        lambda d: F.struct(d.alias("observation_date"), empty.alias("counts")),
+    start, end = timeops.day_literal(selection.start), timeops.day_literal(selection.end)
+    along = Window.partitionBy("NUM_POSTE").orderBy("observation_date")
+    seen = daily_hour_counts(facts, selection).select(
+        "NUM_POSTE",
+        "observation_date",
+        "counts",
+        F.when(F.row_number().over(along) == 1, start).otherwise(F.col("observation_date")).alias("first"),
+        F.coalesce(F.date_sub(F.lead("observation_date").over(along), 1), end).alias("last"),
     )
-    days = stations.select("NUM_POSTE", F.explode(F.concat("seen", missing)).alias("day"))
+    days = seen.withColumn("day", F.explode(F.sequence("first", "last")))
+    observed = F.when(F.col("day") == F.col("observation_date"), F.col("counts"))
+    empty = F.array(*[F.lit(0).cast("bigint") for _ in HOURS])
     return days.select(
         "NUM_POSTE",
-        F.col("day.observation_date").alias("observation_date"),
-        F.posexplode("day.counts").alias("observation_hour", "observation_count"),
+        F.col("day").alias("observation_date"),
+        F.posexplode(F.coalesce(observed, empty)).alias("observation_hour", "observation_count"),
     )
 
 
-def station_coverage_grid(facts: DataFrame, selection: Selection, limit: int = MAX_RESULT_ROWS) -> DataFrame:
+def station_coverage_grid(facts: DataFrame, selection: Selection, limit: int | None = None) -> DataFrame:
     """Grid of the first selected station; all zero when it has no data at all."""
     if not selection.stations:
-        raise ValueError("Select at least one station")
-    first = Selection(
-        metric=selection.metric, start=selection.start, end=selection.end,
-        department=selection.department, stations=selection.stations[:1],
-        time_basis=selection.time_basis, quality_mode=selection.quality_mode,
-    )
+        raise ValueError("The grid of one station needs a selected station")
+    first = replace(selection, stations=selection.stations[:1])
     _check_cells(first, limit)
     spark = facts.sparkSession
     dates = date_series(timeops.day_literal(first.start), timeops.day_literal(first.end))

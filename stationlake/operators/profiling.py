@@ -7,8 +7,11 @@ text.  Header tables have one row per file with its ``columns`` array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +29,19 @@ def archive_columns(rows: DataFrame) -> list[str]:
     return [name for name in rows.columns if name not in ROW_FIELDS]
 
 
+def completed(rows: DataFrame, *names: str) -> DataFrame:
+    """The rows with NULL text for columns that none of the archives has, such as T in old ones."""
+    absent = [name for name in names if name not in rows.columns]
+    return rows.withColumns({name: F.lit(None).cast("string") for name in absent}) if absent else rows
+
+
 def well_formed(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("is_malformed"))
 
 
 def timed_rows(rows: DataFrame) -> DataFrame:
     """Well-formed rows with a valid timestamp; a blank station code stays a value."""
-    good = well_formed(rows).withColumns(
+    good = well_formed(completed(rows, STATION, RAW_TIME)).withColumns(
         {
             STATION: F.coalesce(F.col(STATION), F.lit("")),
             "instant": timeops.parse_observation_time(F.col(RAW_TIME)),
@@ -49,6 +58,8 @@ def archive_inventory(
     The plain inventory counts a station even when its timestamps are invalid;
     the department exploration does not (``stations_need_time``).
     """
+    times_known = RAW_TIME in rows.columns
+    rows = completed(rows, STATION, RAW_TIME)
     good = ~F.col("is_malformed")
     instant = timeops.parse_observation_time(F.col(RAW_TIME))
     counts_station = good & values.is_populated(F.col(STATION))
@@ -58,7 +69,7 @@ def archive_inventory(
         F.count("*").alias("row_count"),
         F.count_if("is_malformed").alias("malformed_rows"),
         F.count_distinct(F.when(counts_station, F.coalesce(F.col(STATION), F.lit("")))).alias("station_count"),
-        F.count_if(good & instant.isNull()).alias("invalid_timestamps"),
+        F.count_if(good & instant.isNull() & F.lit(times_known)).alias("invalid_timestamps"),
         F.min(F.when(good, instant)).alias("earliest"),
         F.max(F.when(good, instant)).alias("latest"),
     )
@@ -130,8 +141,8 @@ def column_dictionary(
 def value_counts(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows per (file, column, value) and the first row that has the value.
 
-    Unpivoting multiplies rows, but they collapse to distinct values before
-    anything is shuffled.  Blank values keep one NULL group per column.
+    For columns of few values, such as codes.  Unpivoting multiplies rows, but they collapse to distinct
+    values before anything is shuffled.  Blank values keep one NULL group per column.
     """
     names = list(columns or archive_columns(rows))
     keys = [*FILE_FIELDS, "source_row_number"]
@@ -145,48 +156,144 @@ def value_counts(rows: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def first_examples(counts: DataFrame, count: int = EXAMPLES) -> DataFrame:
-    """The first distinct values of each column in file order.
-
-    ``row_number() <= count`` lets Spark drop later values before the shuffle.
+SUMMARY_FIELDS = (
+    "source_file string, period_start int, period_end int, column string, valid_rows bigint, populated_count bigint, "
+    "numeric_count bigint, numeric_min double, numeric_max double, firsts array<struct<row: bigint, value: string>>"
+)
+# Files whose buffers a task holds at a time; more are passed on and merged later.
+HELD_FILES = 64
+
+
+class _ColumnBuffer:
+    """What a task knows of one column of one file: counts, range, and the first different values."""
+
+    __slots__ = ("rows", "populated", "numeric", "least", "most", "firsts")
+
+    def __init__(self) -> None:
+        self.rows = self.populated = self.numeric = 0
+        self.least = self.most = None
+        self.firsts: dict[str, int] = {}
+
+    def add(self, order: np.ndarray, texts: pa.Array, numbers: np.ndarray, known: np.ndarray) -> None:
+        """A batch of the column, with row numbers in rising order."""
+        self.rows += len(texts)
+        self.populated += len(texts) - texts.null_count
+        self.numeric += int(known.sum())
+        good = numbers[known & ~np.isnan(numbers)]
+        if len(good):
+            self.least = float(good.min()) if self.least is None else min(self.least, float(good.min()))
+            self.most = float(good.max()) if self.most is None else max(self.most, float(good.max()))
+        if texts.null_count == len(texts):
+            return
+        # Rows behind three different values cannot change them.
+        if len(self.firsts) == EXAMPLES and order[0] > max(self.firsts.values()):
+            return
+        for value in pc.unique(texts.drop_null()).slice(0, EXAMPLES):
+            row = int(order[pc.index(texts, value).as_py()])
+            text = value.as_py()
+            self.firsts[text] = min(row, self.firsts.get(text, row))
+        self.firsts = dict(sorted(self.firsts.items(), key=lambda item: item[1])[:EXAMPLES])
+
+
+def _partial_summaries(names: list[str]):
+    """Arrow batches of (file fields, row number, texts, numbers) to one row per file, column and task."""
+
+    def passed_on(held: dict) -> pa.RecordBatch:
+        rows = [
+            (*file, name, b.rows, b.populated, b.numeric, b.least, b.most, [{"row": r, "value": v} for v, r in b.firsts.items()])
+            for file, buffers in held.items()
+            for name, b in zip(names, buffers, strict=True)
+        ]
+        first = pa.list_(pa.struct([("row", pa.int64()), ("value", pa.string())]))
+        types = [
+            ("source_file", pa.string()), ("period_start", pa.int32()), ("period_end", pa.int32()), ("column", pa.string()),
+            *[(n, pa.int64()) for n in ("valid_rows", "populated_count", "numeric_count")],
+            *[(n, pa.float64()) for n in ("numeric_min", "numeric_max")], ("firsts", first),
+        ]
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[_ColumnBuffer]] = {}
+        for whole in batches:
+            table = pa.Table.from_batches([whole])
+            for file in table.select(FILE_FIELDS).group_by(list(FILE_FIELDS)).aggregate([]).to_pylist():
+                part = table
+                if whole.num_rows != 1:
+                    keep = None
+                    for name, value in file.items():
+                        same = pc.is_null(table[name]) if value is None else pc.fill_null(pc.equal(table[name], value), False)
+                        keep = same if keep is None else pc.and_(keep, same)
+                    part = table.filter(keep).sort_by("source_row_number")
+                part = part.combine_chunks()
+                order = part["source_row_number"].combine_chunks().to_numpy(zero_copy_only=False)
+                texts, numbers = part["texts"].combine_chunks().flatten(), part["numbers"].combine_chunks().flatten()
+                known = numbers.is_valid().to_numpy(zero_copy_only=False)
+                plain = pc.fill_null(numbers, 0.0).to_numpy(zero_copy_only=False)
+                buffers = held.setdefault(tuple(file[n] for n in FILE_FIELDS), [_ColumnBuffer() for _ in names])
+                every = np.arange(0, len(texts), len(names))
+                for at, buffer in enumerate(buffers):
+                    buffer.add(order, texts.take(pa.array(every + at)), plain[at :: len(names)], known[at :: len(names)])
+            if len(held) > HELD_FILES:
+                yield passed_on(held)
+                held = {}
+        if held:
+            yield passed_on(held)
+
+    return run
+
+
+def column_summaries(rows: DataFrame) -> DataFrame:
+    """One row per file and column: rows, populated and numeric values, range, and the first different values.
+
+    Each task keeps a buffer of fixed size per (file, column) and sends it once; the merge adds up counts and
+    takes the first values of the buffers' first values.  So what is shuffled does not depend on the values.
     """
-    order = Window.partitionBy("source_file", "column").orderBy("first_row")
-    ranked = counts.where(F.col("value").isNotNull()).select(
-        "source_file", "column", "value", "first_row", F.row_number().over(order).alias("place")
+    names = archive_columns(rows)
+    texts = F.array(*[values.blank_to_null(F.col(name).cast("string")) for name in names])
+    needed = well_formed(rows).select(*FILE_FIELDS, F.col("source_row_number").cast("bigint"), texts.alias("texts"))
+    parsed = needed.withColumn("numbers", F.transform("texts", values.parse_number))
+    partial = parsed.mapInArrow(_partial_summaries(names), SUMMARY_FIELDS)
+    # A value's rows in several buffers come in order, so its first one counts.
+    firsts = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("firsts"))),
+        F.array().cast("array<struct<row: bigint, value: string>>"),
+        lambda kept, item: F.when(
+            (F.size(kept) >= EXAMPLES) | F.exists(kept, lambda k: k["value"] == item["value"]), kept
+        ).otherwise(F.concat(kept, F.array(item))),
+    )
+    added = ("valid_rows", "populated_count", "numeric_count")
+    return partial.groupBy(*FILE_FIELDS, "column").agg(
+        *[F.sum(name).alias(name) for name in added],
+        F.min("numeric_min").alias("numeric_min"),
+        F.max("numeric_max").alias("numeric_max"),
+        firsts.alias("firsts"),
     )
-    return ranked.where(F.col("place") <= count)
 
 
-def examples_json(counts: DataFrame) -> DataFrame:
-    """Example values per column as a JSON list."""
-    few = first_examples(counts)
-    ordered = F.array_sort(F.collect_list(F.struct("place", "value")))
-    return few.groupBy("source_file", "column").agg(
-        F.to_json(F.transform(ordered, lambda item: item["value"])).alias("examples")
+def first_examples(summaries: DataFrame) -> DataFrame:
+    """The first distinct values of each column in file order."""
+    listed = summaries.select("source_file", "column", F.posexplode("firsts").alias("n", "first"))
+    return listed.select(
+        "source_file", "column", F.col("first.value").alias("value"), F.col("first.row").alias("first_row"),
+        (F.col("n") + 1).alias("place"),
     )
 
 
-def _column_statistics(counts: DataFrame) -> DataFrame:
-    number = values.parse_number(F.col("value"))
-    finite = F.when(~F.isnan(number), number)
-    filled = F.col("value").isNotNull()
-    populated = F.coalesce(F.sum(F.when(filled, F.col("rows"))), F.lit(0))
-    numeric = F.coalesce(F.sum(F.when(number.isNotNull(), F.col("rows"))), F.lit(0))
-    inferred = F.when((populated > 0) & (numeric == populated), "numeric").otherwise("string")
-    return counts.groupBy(*FILE_FIELDS, "column").agg(
-        F.sum("rows").alias("valid_rows"),
-        populated.alias("populated_count"),
-        F.count("value").alias("distinct_values"),
-        inferred.alias("inferred_type"),
-        F.min(finite).alias("numeric_min"),
-        F.max(finite).alias("numeric_max"),
+def _with_inferred(summaries: DataFrame) -> DataFrame:
+    """Summaries with the inferred type and the examples as a JSON list."""
+    numeric = (F.col("populated_count") > 0) & (F.col("numeric_count") == F.col("populated_count"))
+    return summaries.withColumns(
+        {
+            "inferred_type": F.when(numeric, "numeric").otherwise("string"),
+            "examples": F.to_json(F.transform("firsts", lambda item: item["value"])),
+        }
     )
 
 
 def column_profile(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Population, inferred type, numeric range and examples per file and column."""
-    counts = value_counts(rows)
-    profile = _column_statistics(counts).join(examples_json(counts), ["source_file", "column"], "left")
+    profile = _with_inferred(column_summaries(rows))
     if headers is not None:
         listed = headers.select(*FILE_FIELDS, F.explode("columns").alias("column"))
         profile = listed.join(profile.drop("period_start", "period_end"), ["source_file", "column"], "left")
@@ -209,31 +316,39 @@ def column_profile(rows: DataFrame, headers: DataFrame | None = None) -> DataFra
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
     """Repeats of a (station, raw time) key per file, beyond the first."""
-    keys = well_formed(rows).groupBy("source_file", STATION, RAW_TIME).count()
+    keys = well_formed(completed(rows, STATION, RAW_TIME)).groupBy("source_file", STATION, RAW_TIME).count()
     return keys.groupBy("source_file").agg(
         F.sum(F.col("count") - 1).alias("duplicate_station_timestamp_count")
     )
 
 
+def distinct_values(rows: DataFrame) -> DataFrame:
+    """Exact number of different values per file and column; equal ones are combined before the shuffle."""
+    names = archive_columns(rows)
+    texts = well_formed(rows).select(
+        "source_file", *[values.blank_to_null(F.col(name).cast("string")).alias(name) for name in names]
+    )
+    different = texts.unpivot("source_file", names, "column", "value").where("value IS NOT NULL").distinct()
+    return different.groupBy("source_file", "column").agg(F.count("*").alias("distinct_count"))
+
+
 def archive_profile(rows: DataFrame) -> DataFrame:
     """Exact distinct counts, ranges, examples, repeats."""
-    counts = value_counts(rows)
-    stats = _column_statistics(counts)
+    zero = F.lit(0).cast("bigint")
     return (
-        stats.join(examples_json(counts), ["source_file", "column"], "left")
+        _with_inferred(column_summaries(rows))
+        .join(distinct_values(rows), ["source_file", "column"], "left")
         .join(repeated_keys(rows), "source_file", "left")
         .select(
             F.col("source_file").alias("filename"),
             "column",
             "inferred_type",
             "populated_count",
-            F.col("distinct_values").alias("distinct_count"),
-            F.coalesce("examples", F.lit("[]")).alias("examples"),
+            F.coalesce("distinct_count", zero).alias("distinct_count"),
+            "examples",
             "numeric_min",
             "numeric_max",
-            F.coalesce("duplicate_station_timestamp_count", F.lit(0)).alias(
-                "duplicate_station_timestamp_count"
-            ),
+            F.coalesce("duplicate_station_timestamp_count", zero).alias("duplicate_station_timestamp_count"),
         )
     )
 
@@ -262,7 +377,7 @@ def station_value_sets(rows: DataFrame) -> DataFrame:
     Hash aggregation to distinct tuples comes first, so the set-building
     aggregation sees a handful of rows per station.
     """
-    tuples = timed_rows(rows).groupBy(STATION, *_SETS, "source_file").agg(
+    tuples = timed_rows(completed(rows, *_SETS, "T")).groupBy(STATION, *_SETS, "source_file").agg(
         F.count("*").alias("observations"),
         F.count_if(values.is_populated(F.col("T"))).alias("temperatures"),
         F.min("instant").alias("first_time"),
@@ -315,7 +430,7 @@ def metadata_conflicts(sets: DataFrame) -> DataFrame:
 def station_year_coverage(rows: DataFrame) -> DataFrame:
     """Observations and temperatures per station and year against a full year."""
     year = F.year("instant")
-    counts = timed_rows(rows).groupBy(F.col(STATION).alias("station_id"), year.alias("year")).agg(
+    counts = timed_rows(completed(rows, "T")).groupBy(F.col(STATION).alias("station_id"), year.alias("year")).agg(
         F.count("*").alias("observation_count"),
         F.count_if(values.is_populated(F.col("T"))).alias("temperature_count"),
     )

@@ -73,10 +73,12 @@ def overview_view(
     return {"stations": means, "surface": spatial.temperature_surface(means, area, step)}
 
 
-def context_view(facts: DataFrame, selection: Selection) -> dict[str, DataFrame]:
+def context_view(
+    facts: DataFrame, selection: Selection, dimension: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Summary numbers and the station map of a selection."""
     return {
-        "summary": coverage.coverage_summary(facts, selection),
+        "summary": coverage.coverage_summary(facts, selection, dimension),
         "stations": coverage.station_map(facts, selection),
     }
 
@@ -124,16 +126,19 @@ def resolve_period(
 
 def check_stations(facts: DataFrame, selection: Selection) -> Selection:
     """The selection, or an error when a station has no data in department and period."""
-    valid = _present(facts, selection)
-    if not selection.stations or any(code not in valid for code in selection.stations):
-        raise ValueError("Select stations available in the chosen department and period")
+    wanted = _listed(facts, selection.stations or ())
+    absent = wanted.join(valid_stations(facts, selection, wanted), "NUM_POSTE", "left_anti").take(1)
+    if not selection.stations or absent:
+        raise ValueError("Not all selected stations are available in this department and period")
     return selection
 
 
 def retain_stations(facts: DataFrame, selection: Selection, wanted: Iterable[str]) -> tuple[str, ...]:
     """Those of the wanted stations that have data, else the best station."""
     wanted = tuple(wanted)
-    valid = _present(facts, replace(selection, stations=wanted)) if wanted else set()
+    found = valid_stations(facts, selection, _listed(facts, wanted)) if wanted else None
+    # As many rows as the caller listed, at most.
+    valid = {row.NUM_POSTE for row in found.collect()} if found is not None else set()
     kept = tuple(code for code in wanted if code in valid)
     if kept:
         return kept
@@ -141,9 +146,12 @@ def retain_stations(facts: DataFrame, selection: Selection, wanted: Iterable[str
     return (best[0].NUM_POSTE,) if best else ()
 
 
-def _present(facts: DataFrame, selection: Selection) -> set[str]:
-    """Which of the selected stations (at most five) occur in department and period."""
-    rows = facts.where(
-        from_places(selection) & in_period(selection.start, selection.end, selection.time_basis)
-    )
-    return {row.NUM_POSTE for row in rows.select("NUM_POSTE").distinct().collect()}
+def valid_stations(facts: DataFrame, selection: Selection, wanted: DataFrame) -> DataFrame:
+    """Those of the wanted stations (any number, ``NUM_POSTE``) that occur in the selection's department and period."""
+    everyone = replace(selection, stations=None)
+    rows = facts.where(from_places(everyone) & in_period(selection.start, selection.end, selection.time_basis))
+    return wanted.select("NUM_POSTE").distinct().join(rows.select("NUM_POSTE").distinct(), "NUM_POSTE", "left_semi")
+
+
+def _listed(facts: DataFrame, codes: Iterable[str]) -> DataFrame:
+    return facts.sparkSession.createDataFrame([(code,) for code in codes], "NUM_POSTE string")

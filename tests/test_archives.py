@@ -180,6 +180,25 @@ def test_inventory_of_archives_without_time_column(spark, folder):
     assert rows[1].earliest_timestamp == "2010-01-01T00:00:00"
 
 
+def test_reports_without_time_temperature_or_name_columns(spark, folder):
+    """No archive has these columns: counts go on without them."""
+    write_gzip(folder / "a" / "H_44_2010-2019.csv.gz", ["NUM_POSTE;RR1", "1;2.0", "2;3.0", "2;4.0"])
+    inspection.inspect_archives(spark, str(folder / "a"), str(folder / "reports"), "profile")
+    row = spark.read.parquet(str(folder / "reports" / "archive_inventory")).first()
+    assert (row.row_count, row.station_count, row.invalid_timestamps, row.earliest_timestamp) == (3, 2, 0, None)
+    profile = {r.column: r for r in spark.read.parquet(str(folder / "reports" / "profile_summary")).collect()}
+    assert set(profile) == {"NUM_POSTE", "RR1"} and profile["RR1"].distinct_count == 3
+    write_gzip(folder / "b" / "H_44_2010-2019.csv.gz", ["NUM_POSTE;AAAAMMJJHH;RR1", "1;2010010100;2.0", "1;2010010101;"])
+    summary = inspection.explore_department(spark, str(folder / "b"), str(folder / "r2"), "44")
+    assert (summary["stations"], summary["metadata_conflicts"], summary["errors"]) == (1, 0, 0)
+    station = spark.read.parquet(str(folder / "r2" / "station_inventory")).first()
+    assert (station.names, station.observation_count, station.temperature_count) == ("[]", 2, 0)
+    years = spark.read.parquet(str(folder / "r2" / "station_year_temperature_coverage")).first()
+    assert (years.observation_count, years.temperature_count) == (2, 0)
+    summary = inspection.explore_department(spark, str(folder / "a"), str(folder / "r3"), "44")
+    assert (summary["archives"], summary["stations"], summary["duplicates"]) == (1, 0, 0)
+
+
 def test_repeated_keys_and_distinct_values(spark):
     rows = spark.createDataFrame(
         [("f", 2000, 2001, n, False, "1", "2000010100", str(n)) for n in range(5)],
@@ -191,6 +210,55 @@ def test_repeated_keys_and_distinct_values(spark):
     assert profile["T"].distinct_count == 5 and profile["NUM_POSTE"].distinct_count == 1
 
 
+WIDE = [f"C{n:02d}" for n in range(64)]
+
+
+def _wide_rows(spark, count, files=3):
+    """Rows of 64 columns in a mixed order, with blanks, repeats and values that come late."""
+    rows = []
+    for n in range(count):
+        late = "late" if n > count - 5 else ""
+        cells = [str((n * (k + 1)) % (k + 2)) if k % 3 else ("" if k % 2 else late) for k in range(64)]
+        cells[5] = ["nan", "7", "x"][n % 3] if n % 11 == 0 else ""
+        rows.append((f"f{n % files}", 2000, 2001, n // files + 2, n % 13 == 0, *cells))
+    rows.sort(key=lambda r: (r[3] * 7919) % 1009)
+    layout = "source_file string, period_start int, period_end int, source_row_number bigint, is_malformed boolean, "
+    return rows, spark.createDataFrame(rows, layout + ", ".join(f"{name} string" for name in WIDE))
+
+
+def test_column_summaries_equal_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(profiling, "HELD_FILES", 1)
+    rows, frame = _wide_rows(spark, 700)
+    found = {(r.source_file, r.column): r for r in profiling.column_profile(frame.repartition(5)).collect()}
+    assert len(found) == 3 * 64
+    for file in ("f0", "f1", "f2"):
+        own = sorted((r for r in rows if r[0] == file and not r[4]), key=lambda r: r[3])
+        for k, name in enumerate(WIDE):
+            filled = [r[5 + k] for r in own if r[5 + k]]
+            numbers = [float(v) for v in filled if v not in ("x", "late")]
+            plain = [v for v in numbers if v == v]
+            row = found[file, name]
+            assert (row.populated_count, row.null_count) == (len(filled), len(own) - len(filled))
+            assert json.loads(row.examples) == list(dict.fromkeys(filled))[:3]
+            assert (row.numeric_min, row.numeric_max) == (min(plain, default=None), max(plain, default=None))
+            assert row.inferred_type == ("numeric" if filled and len(numbers) == len(filled) else "string")
+
+
+def test_column_profile_scans_once_and_shuffles_no_values(spark, folder):
+    _wide_rows(spark, 300)[1].write.parquet(str(folder / "rows"))
+    staged = spark.read.parquet(str(folder / "rows"))
+    plan = profiling.column_profile(staged)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1
+    exchange = next(line for line in plan.splitlines() if "Exchange" in line)
+    assert "hashpartitioning(source_file" in exchange and "value" not in exchange
+
+
+def test_profile_of_no_rows(spark):
+    _, frame = _wide_rows(spark, 3)
+    assert profiling.column_profile(frame.where("false")).count() == 0
+    assert profiling.archive_profile(frame.where("false")).count() == 0
+
+
 def test_type_letters_and_hexadecimal_digits_are_no_numbers(spark):
     texts = ["12", "-1.5e3", ".5", "nan", "inf", "12d", "3F", "1.f", "0x1p3", "12d ", "abc", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select(values.parse_number(F.col("v")).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from stationlake.operators import coverage, selection, series, stations
 from stationlake.operators.selection import ResultTooLarge, Selection
@@ -42,19 +43,22 @@ def facts(spark):
 
 
 def test_selection_rejects_bad_input():
-    with pytest.raises(ValueError, match="Invalid department"):
+    with pytest.raises(ValueError, match="no department code"):
         select(department="Bretagne")
-    with pytest.raises(ValueError, match="at most 5"):
-        select(stations=tuple("abcdef"))
-    with pytest.raises(ValueError, match="Unsupported metric"):
+    with pytest.raises(ValueError, match="more than the 5 allowed"):
+        select(stations=tuple("abcdef"), most_stations=5)
+    with pytest.raises(ValueError, match="no department code.*before it begins"):
+        select(department="Bretagne", end=dt.date(2025, 3, 9))
+    assert len(select(stations=tuple("abcdef")).stations) == 6
+    with pytest.raises(ValueError, match="unknown"):
         select(metric="T; DROP")
-    with pytest.raises(ValueError, match="not valid"):
+    with pytest.raises(ValueError, match="has the statistics"):
         select(statistics=("total",))
-    with pytest.raises(ValueError, match="later than"):
+    with pytest.raises(ValueError, match="before it begins"):
         select(end=dt.date(2025, 3, 9))
-    with pytest.raises(ValueError, match="unique"):
+    with pytest.raises(ValueError, match="listed twice"):
         select(stations=("a", "a"))
-    with pytest.raises(ValueError, match="quality"):
+    with pytest.raises(ValueError, match="quality mode"):
         select(quality_mode="best")
 
 
@@ -96,6 +100,40 @@ def test_clock_changes_in_grid_and_summary(facts):
     assert {r.observation_hour: r.observation_count for r in all_stations.collect()} == grid
 
 
+def test_grid_of_thirty_years_has_every_cell_of_every_seen_station(facts):
+    span = select(start=dt.date(1997, 1, 1), end=dt.date(2026, 12, 31), stations=None)
+    days = (span.end - span.start).days + 1
+    grid = coverage.coverage_grid(facts, span).groupBy("NUM_POSTE").agg(
+        F.count("*").alias("cells"), F.count_distinct("observation_date").alias("days"),
+        F.sum("observation_count").alias("observations"),
+    )
+    found = {r.NUM_POSTE: r for r in grid.collect()}
+    assert "44000044" not in found and len(found) >= 3
+    assert {(r.cells, r.days) for r in found.values()} == {(24 * days, days)}
+    rows = facts.where("T IS NOT NULL").where(F.col("department") == "44").groupBy("NUM_POSTE").count().collect()
+    for row in rows:
+        assert found[row.NUM_POSTE].observations == row["count"]
+
+
+def test_whole_network_expects_silent_stations(facts):
+    day = select(start=dt.date(2025, 3, 10), end=dt.date(2025, 3, 10), stations=None)
+    assert coverage.coverage_summary(facts, day).first().expected == 4 * 24
+    dimension = facts.sparkSession.createDataFrame([("44", "a"), ("44", "b"), ("35", "c")], "department string, NUM_POSTE string")
+    row = coverage.coverage_summary(facts, day, dimension).first()
+    assert (row.stations, row.expected) == (2, 48)
+    none = select(start=dt.date(1950, 1, 1), end=dt.date(1950, 1, 1), stations=None)
+    assert coverage.coverage_summary(facts, none).first().observations == 0
+
+
+def test_more_than_five_stations_are_validated(facts):
+    six = ("44000011", "44000022", "x1", "x2", "x3", "x4")
+    chosen = select(stations=None)
+    assert views.retain_stations(facts, chosen, six) == ("44000011", "44000022")
+    with pytest.raises(ValueError, match="available"):
+        views.check_stations(facts, select(stations=six))
+    assert views.check_stations(facts, select(stations=six[:2])).stations == six[:2]
+
+
 def test_hourly_order_follows_instants_in_the_fold(facts):
     autumn = dt.date(2024, 10, 27)
     values = [r.value for r in series.hourly_series(facts, select(start=autumn, end=autumn)).collect()]
@@ -136,7 +174,7 @@ def test_rain_comparison_uses_totals(facts):
 def test_result_limit(facts):
     rows = series.hourly_series(facts, select())
     assert selection.check_result_size(rows, limit=2) is rows
-    with pytest.raises(ResultTooLarge, match="fewer stations"):
+    with pytest.raises(ResultTooLarge, match="narrow the period"):
         selection.check_result_size(rows, limit=1)
     with pytest.raises(ResultTooLarge, match="cells"):
         coverage.coverage_grid(facts, select(), limit=10)
