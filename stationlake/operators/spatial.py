@@ -9,10 +9,16 @@ neither a crowded place nor a crowd within reach pairs points with all its stati
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from stationlake.functions.spatial import EARTH_RADIUS_KM, haversine_km
 from stationlake.session import stored
@@ -158,17 +164,6 @@ def _parent(cell: Column) -> Column:
     return sum((F.shiftleft(part, _AXIS_BITS * n) for n, part in enumerate(parts)), F.lit(0).cast("bigint"))
 
 
-def _cube_distances(cell: Column, edge: float) -> tuple[Column, Column]:
-    """Squares of the least and the greatest distance from a row's place to any place of a cube."""
-    near, far = F.lit(0.0), F.lit(0.0)
-    for n, axis in enumerate(("z", "y", "x")):
-        start = F.shiftright(cell, _AXIS_BITS * n).bitwiseAND(_AXIS_MASK) * edge - F.col(axis)
-        gap = F.greatest(start, -start - edge, F.lit(0.0))
-        reach = F.greatest(start + edge, -start)
-        near, far = near + gap * gap, far + reach * reach
-    return near, far
-
-
 def station_sites(stations: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Stations with a place and a value, at most ``neighbours`` per place.
 
@@ -183,15 +178,27 @@ def station_sites(stations: DataFrame, neighbours: int = NEIGHBOURS) -> DataFram
     return ranked.where(F.col("n") <= neighbours).drop("n")
 
 
-def site_pyramid(sites: DataFrame) -> list[DataFrame]:
-    """Per level but the finest: every occupied cube with its occupied cubes of the next level and their counts.
+def pyramid_depth(sites: DataFrame, neighbours: int = NEIGHBOURS) -> int:
+    """The coarsest level below the top at which no cube holds more sites than are wanted (else the finest).
+
+    One number per level reaches the driver.
+    """
+    levels = range(1, LEVELS)
+    cells = F.array(*[F.struct(F.lit(n).alias("level"), _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[n]).alias("cell")) for n in levels])
+    counts = _with_axes(sites).select(F.explode(cells).alias("at")).groupBy("at.level", "at.cell").count()
+    deepest = counts.where(F.col("count") > neighbours).agg(F.max("level").alias("level")).first().level
+    return 1 if deepest is None else min(deepest + 1, LEVELS - 1)
+
+
+def site_pyramid(sites: DataFrame, depth: int) -> list[DataFrame]:
+    """Per level above ``depth``: every occupied cube with its occupied cubes of the next level and their counts.
 
     A cube has at most 512 children, so a row is bounded however crowded it is.
     """
-    finest = _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[-1])
+    finest = _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[depth])
     counts = _with_axes(sites).groupBy(finest.alias("cell")).agg(F.count("*").alias("sites"))
     levels: list[DataFrame] = []
-    for _ in range(LEVELS - 1):
+    for _ in range(depth):
         parents = counts.groupBy(_parent(F.col("cell")).alias("cell")).agg(
             F.collect_list(F.struct("cell", "sites")).alias("children"), F.sum("sites").alias("sites")
         )
@@ -200,57 +207,90 @@ def site_pyramid(sites: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def _within_bound(children: Column, edge: float, neighbours: int) -> Column:
-    """The cubes that may hold one of the nearest sites of a row's place.
+def _first_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, LAT, LON) to the straight coordinates and the coarsest cubes around each place.
+
+    The corners of the reach lie in at most eight cubes, and all of the reach within those.
+    """
+    for batch in batches:
+        lat, lon = np.radians(batch.column(1).to_numpy()), np.radians(batch.column(2).to_numpy())
+        straight = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+        axes = (straight + 1) * EARTH_RADIUS_KM
+        ends = np.floor(np.stack([axes - _REACH, axes + _REACH]) / _EDGES[0]).astype(np.int64)
+        rows, cells = [], []
+        for x, y, z in itertools.product((0, 1), repeat=3):
+            cell = ends[x, 0] << 2 * _AXIS_BITS | ends[y, 1] << _AXIS_BITS | ends[z, 2]
+            # A side whose ends share a cube is counted once.
+            new = np.ones(len(lat), bool)
+            for side, axis in ((x, 0), (y, 1), (z, 2)):
+                new &= (ends[side, axis] != ends[0, axis]) | (side == 0)
+            rows.append(np.flatnonzero(new))
+            cells.append(cell[new])
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        # Beyond the corner of the cube around the earth nothing is.
+        inside = (np.stack([cell >> 2 * _AXIS_BITS, cell >> _AXIS_BITS & _AXIS_MASK, cell & _AXIS_MASK]) >= 0).all(axis=0)
+        row, cell = row[inside], cell[inside]
+        taken = [column.take(pa.array(row)) for column in batch.columns]
+        yield pa.RecordBatch.from_arrays(
+            [*taken, *[pa.array(axis[row]) for axis in axes], pa.array(cell)], names=[*batch.schema.names, *_AXES, "cell"]
+        )
+
+
+def _closer_cells(edge: float, neighbours: int):
+    """(key, LAT, LON, x, y, z, children) to the children that may hold one of the nearest sites of a row's place.
 
     Cubes by their farthest corner: once they hold enough sites together, no nearest site
     is farther than that corner, and cubes that begin beyond it are out.
     """
 
-    def measured(child: Column) -> Column:
-        near, far = _cube_distances(child["cell"], edge)
-        return F.struct(far.alias("far"), near.alias("near"), child["cell"].alias("cell"), child["sites"].alias("sites"))
-
-    reach = F.lit(_REACH * _REACH)
-    close = F.filter(F.transform(children, measured), lambda c: c["near"] <= reach)
-    bound = F.aggregate(
-        F.array_sort(close),
-        F.struct(F.lit(0).cast("bigint").alias("seen"), reach.alias("far")),
-        lambda known, c: F.when(known["seen"] >= neighbours, known).otherwise(
-            F.struct(
-                (known["seen"] + c["sites"]).alias("seen"),
-                F.when(known["seen"] + c["sites"] >= neighbours, F.least(c["far"], reach)).otherwise(reach).alias("far"),
-            )
-        ),
-        lambda known: F.pow(F.sqrt(known["far"]) + 1e-6, F.lit(2.0)),
-    )
-    # The bound is the same for all cubes of the row: it travels as an array of one.
-    kept = F.transform(F.array(F.struct(close.alias("close"), bound.alias("bound"))), lambda both: F.transform(
-        F.filter(both["close"], lambda c: c["near"] <= both["bound"]), lambda c: c["cell"]
-    ))
-    return F.flatten(kept)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(6)
+            flat = lists.flatten()
+            cell = flat.field("cell").to_numpy(zero_copy_only=False)
+            sites = flat.field("sites").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            near, far = np.zeros(len(cell)), np.zeros(len(cell))
+            for n, at in enumerate((5, 4, 3)):
+                index = (cell >> _AXIS_BITS * n) & _AXIS_MASK
+                start = index * edge - batch.column(at).to_numpy()[row]
+                near += np.maximum(np.maximum(start, -start - edge), 0) ** 2
+                far += np.maximum(start + edge, -start) ** 2
+            order = np.lexsort((far, row))
+            order = order[near[order] <= _REACH**2]
+            cell, sites, row, near, far = cell[order], sites[order], row[order], near[order], far[order]
+            seen = np.cumsum(sites)
+            starts = np.searchsorted(row, row, "left")
+            seen = seen - (seen[starts] - sites[starts])
+            bound = np.full(batch.num_rows, _REACH**2)
+            enough = (seen >= neighbours) & (seen - sites < neighbours)
+            bound[row[enough]] = np.minimum(far[enough], _REACH**2)
+            kept = near <= (np.sqrt(bound[row]) + 1e-6) ** 2
+            taken = [batch.column(at).take(pa.array(row[kept])) for at in range(6)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(cell[kept])], names=[*batch.schema.names[:6], "cell"])
+
+    return run
 
 
 def candidate_cells(
-    points: DataFrame, sites: DataFrame, key: str = "point_id", neighbours: int = NEIGHBOURS
+    points: DataFrame, sites: DataFrame, depth: int, key: str = "point_id", neighbours: int = NEIGHBOURS
 ) -> DataFrame:
-    """Per point the finest cubes that may hold its nearest sites within the radius.
+    """Per point the cubes of level ``depth`` that may hold its nearest sites within the radius.
 
     From level to level a point keeps the cubes within the distance that its nearest sites cannot exceed, and goes on
     with their children.  Cubes shrink as the bound does, so a point keeps a few of them at every level,
     whether sites are dense where it is, or dense somewhere within the radius.
     """
-    placed = _with_axes(points.select(key, "LAT", "LON").where("LAT IS NOT NULL AND LON IS NOT NULL"))
-    place = [key, "LAT", "LON", *_AXES]
-    around = placed
-    for axis in _AXES:
-        ends = F.array(F.col(axis) - _REACH, F.col(axis) + _REACH)
-        around = around.select("*", F.explode(ends).alias(f"c{axis}"))
-    # The corners of the reach lie in at most eight cubes, and all of the reach within those.
-    found = around.select(*place, _cell(F.col("cx"), F.col("cy"), F.col("cz"), _EDGES[0]).alias("cell")).distinct()
-    for level, parents in enumerate(site_pyramid(sites), 1):
+    placed = points.where("LAT IS NOT NULL AND LON IS NOT NULL").select(
+        key, F.col("LAT").cast("double").alias("LAT"), F.col("LON").cast("double").alias("LON")
+    )
+    fields = [*placed.schema.fields, *[StructField(axis, DoubleType()) for axis in _AXES]]
+    schema = StructType([*fields, StructField("cell", LongType())])
+    place = [field.name for field in fields]
+    found = placed.mapInArrow(_first_cells, schema)
+    for level, parents in enumerate(site_pyramid(sites, depth), 1):
         met = found.join(parents, "cell").groupBy(*place).agg(F.flatten(F.collect_list("children")).alias("children"))
-        found = met.select(*place, F.explode(_within_bound(F.col("children"), _EDGES[level], neighbours)).alias("cell"))
+        found = met.mapInArrow(_closer_cells(_EDGES[level], neighbours), schema)
     return found
 
 
@@ -258,11 +298,12 @@ def candidate_pairs(
     points: DataFrame, sites: DataFrame, key: str = "point_id", neighbours: int = NEIGHBOURS
 ) -> DataFrame:
     """Points with the sites of their candidate cubes: few more than the nearest ones."""
+    depth = pyramid_depth(sites, neighbours)
     located = _with_axes(sites).select(
-        _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[-1]).alias("cell"),
+        _cell(F.col("x"), F.col("y"), F.col("z"), _EDGES[depth]).alias("cell"),
         F.col("LAT").alias("site_lat"), F.col("LON").alias("site_lon"), "value",
     )
-    return candidate_cells(points, sites, key, neighbours).join(located, "cell").select(
+    return candidate_cells(points, sites, depth, key, neighbours).join(located, "cell").select(
         key, "LAT", "LON", "site_lat", "site_lon", "value"
     )
 
