@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership.
 
 A naive Bayes classifier over hashed words and word endings is counted from the labelled documents of
-the ``labels`` table; its domains are ``good``, ``poor`` (by quality) and ``toxic``.  It gives
+the ``labels`` table (a bounded sample, ``FIT_ROWS``); its domains are ``good``, ``poor`` (by quality) and ``toxic``.  It gives
 every document a posterior over the domains instead of one label.  Rates by document, not below zero, are then
 fitted so that the expected tokens of each domain, the sum of rate times tokens times posterior,
 meet the targets: projected gradient descent on the squared misses from rate 1.
@@ -30,6 +30,8 @@ from stationlake.session import stored
 DOMAINS = ("good", "poor", "toxic")
 # Tokens wanted of each domain, as shares of what the corpus is expected to have of it.
 TARGETS = {"good": 1.02, "poor": 0.25, "toxic": 0.1}
+# Labelled documents that the classifier is counted from at most: those with the smallest hashes of their ids.
+FIT_ROWS = 20_000
 BUCKETS = 1 << 18
 PRIOR_WORDS = 50.0
 CLEAR = 4.0  # standard deviations between a word's share in a domain and overall
@@ -42,14 +44,17 @@ STILL = 1e-9
 
 def words(text: Column) -> Column:
     """Words in lower case, cut at ASCII white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+", -1), lambda w: w != "")
+    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\f\r", "     ")
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
-def _buckets(found: Column) -> Column:
-    """A bucket for every word and one for its last two characters."""
-    bucket = lambda value: F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
-    ends = F.transform(found, lambda w: bucket(F.concat(F.lit(" "), F.substring(w, -2, 2))))
-    return F.concat(F.transform(found, bucket), ends)
+def _word_bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _ending_bucket(word: Column) -> Column:
+    """The bucket of a word's last two characters, by other bits of the hash than a word of two."""
+    return F.pmod(F.shiftright(F.xxhash64(F.substring(word, -2, 2)), 24), F.lit(BUCKETS)).cast("int")
 
 
 def labelled_domains(labels: DataFrame) -> DataFrame:
@@ -61,13 +66,14 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return known.select(F.col("doc_id").alias("_id"), domain.alias("domain"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Evidence for each domain by bucket, at most ``BUCKETS`` rows."""
-    domains = labelled_domains(labels)
-    # Labels grow with the corpus, so the texts go to them in the same way at every size.
-    known = docs.select("doc_id", "text").join(domains.hint("merge"), F.col("doc_id") == F.col("_id"))
-    found = known.select("domain", words(F.col("text")).alias("_words"))
-    found = found.select("domain", F.explode(_buckets(F.col("_words"))).alias("bucket"))
+def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """Evidence for each domain by bucket, at most ``BUCKETS`` rows, from at most ``rows`` labelled ids."""
+    chosen = labelled_domains(labels).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    # The sample is bounded by ``rows``, so it can be broadcast whatever the size of the input.
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    found = known.select("domain", F.explode(words(F.col("text"))).alias("_word"))
+    both = F.array(_word_bucket(F.col("_word")), _ending_bucket(F.col("_word")))
+    found = found.select("domain", F.explode(both).alias("bucket"))
     counted = stored(
         found.groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), "mix-counts"
     )
@@ -88,15 +94,23 @@ def posteriors(docs: DataFrame, labels: DataFrame, evidence: DataFrame) -> DataF
     The prior of a document is the share of the domains among the labelled documents for which its
     evidence, too, speaks most: a document without a toxic word is not as likely toxic as any.
     """
-    found = docs.select("doc_id", words(F.col("text")).alias("_words"))
-    rows = found.select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", F.size("_words").cast("long").alias("n_tokens"),
-        _buckets(F.col("_words")).alias("_buckets"),
-    ).select("_row", "doc_id", "n_tokens", F.explode_outer("_buckets").alias("bucket"))
-    # At most one row per hash bucket: a size that no corpus exceeds.
-    sums = rows.join(F.broadcast(evidence), "bucket", "left").groupBy("_row", "doc_id", "n_tokens").agg(
-        F.count(DOMAINS[0]).alias("n"), *(F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS)
+    # Rows are numbered before words become rows.
+    found = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("_words"))
+    found = found.select("_row", "doc_id", F.size("_words").cast("long").alias("n_tokens"), F.explode_outer("_words").alias("_word"))
+    keyed = found.select(
+        "_row", "doc_id", "n_tokens", _word_bucket(F.col("_word")).alias("_by_word"), _ending_bucket(F.col("_word")).alias("_by_ending")
     )
+    # Evidence has at most one row per hash bucket: a size that no corpus exceeds.
+    for key in ("_by_word", "_by_ending"):
+        side = evidence.select(F.col("bucket").alias(key), *(F.col(d).alias(f"{key}_{d}") for d in DOMAINS))
+        keyed = keyed.join(F.broadcast(side), key, "left")
+
+    def total(domain: str) -> Column:
+        parts = [F.coalesce(f"{key}_{domain}", F.lit(0.0)) for key in ("_by_word", "_by_ending")]
+        return F.sum(parts[0] + parts[1]).alias(domain)
+
+    hits = F.count(f"_by_word_{DOMAINS[0]}") + F.count(f"_by_ending_{DOMAINS[0]}")
+    sums = keyed.groupBy("_row", "doc_id", "n_tokens").agg(hits.alias("n"), *(total(d) for d in DOMAINS))
     # Words are not independent: beyond some evidence, more of it counts by its root only.
     scale = F.when(F.col("n") > EVIDENCE, F.sqrt(EVIDENCE / F.col("n"))).otherwise(1.0)
     largest = F.greatest(*DOMAINS)
@@ -169,12 +183,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Documents repeated or left out by their rates; the part of a rate below one is decided by a hash of the id."""
-    by_id = rates.groupBy("doc_id").agg(F.avg("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(F.col("_rate") + chance).cast("int")
-    joined = docs.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copies", copies)
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Documents repeated or left out by their rates; the part of a rate below one is decided by a hash of the id.
+
+    All columns of the documents come back, whatever their names.
+    """
+    whole = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    known = docs.select(F.col("doc_id").alias("own_id"), whole)
+    by_id = rates.groupBy(F.col("doc_id").alias("rate_id")).agg(F.avg("rate").alias("rate"))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "own_id"), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(F.col("rate") + chance).cast("int")
+    joined = known.join(by_id, F.col("own_id").eqNullSafe(F.col("rate_id"))).withColumn("copies", copies)
+    repeated = joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")
 
 
 @query("op6_mix_sources")

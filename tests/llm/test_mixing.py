@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from stationlake.llm import mixing as mx
@@ -43,6 +47,90 @@ def test_targets_are_met(corpus):
     assert all(abs(sum(r[f"p_{d}"] for d in mx.DOMAINS) - 1) < 1e-9 for r in rows)
 
 
+def plain_bucket(word, bits):
+    number = xxhash.xxh64_intdigest(word.encode(), seed=42)
+    number -= (number >> 63) << 64
+    return (number >> bits) % mx.BUCKETS
+
+
+def plain_words(text):
+    return [w for w in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+
+
+def plain_posteriors(docs, labels):
+    """Naive Bayes by the letter of the module, one document after the other."""
+    domain = {i: "toxic" if t else "good" if q else "poor" for i, q, t in labels}
+    counts = {d: Counter() for d in mx.DOMAINS}
+    keys = {i: [b for w in plain_words(text) for b in (plain_bucket(w, 0), plain_bucket(w[-2:], 24))] for i, text in docs}
+    for i, found in keys.items():
+        if i in domain:
+            counts[domain[i]].update(found)
+    sums = {d: sum(c.values()) for d, c in counts.items()}
+    total = sum(sums.values()) or 1.0
+    evidence = {}
+    for bucket in set().union(*counts.values()):
+        share = sum(c[bucket] for c in counts.values()) / total
+        if any(abs(counts[d][bucket] - share * sums[d]) > mx.CLEAR * math.sqrt(share * sums[d]) for d in mx.DOMAINS):
+            evidence[bucket] = {
+                d: math.log((counts[d][bucket] + mx.PRIOR_WORDS * share) / ((sums[d] + mx.PRIOR_WORDS) * share)) for d in mx.DOMAINS
+            }
+    said, leads = {}, {}
+    for i, found in keys.items():
+        hits = [evidence[b] for b in found if b in evidence]
+        scale = math.sqrt(mx.EVIDENCE / len(hits)) if len(hits) > mx.EVIDENCE else 1.0
+        said[i] = {d: scale * math.fsum(h[d] for h in hits) for d in mx.DOMAINS}
+        leads[i] = max(mx.DOMAINS, key=lambda d: said[i][d])
+        if said[i]["good"] >= max(said[i].values()):
+            leads[i] = "good"
+    result = {}
+    for i in keys:
+        seen = Counter(domain[j] for j in domain if j in leads and leads[j] == leads[i])
+        scores = {}
+        for d in mx.DOMAINS:
+            prior = (seen[d] + 0.5 * (d == leads[i])) / (sum(seen.values()) + 0.5)
+            scores[d] = math.log(max(prior, 1e-6)) + said[i][d]
+        weights = {d: math.exp(v - max(scores.values())) for d, v in scores.items()}
+        result[i] = {d: w / sum(weights.values()) for d, w in weights.items()}
+    return result
+
+
+def test_posteriors_and_rates_equal_a_plain_computation(corpus):
+    docs, labels = make_corpus(corpus)
+    extra = make_docs(corpus, [(900, None), (901, ""), (902, "dolt " * 30_000), (903, "W1\tw2\x0bw3  w4\n\rw5 éÉ x")])
+    docs = docs.unionByName(extra)
+    rows = {r.doc_id: r for r in mx.mix(docs, labels).collect()}
+    right = plain_posteriors([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in labels.collect()])
+    for doc_id, row in rows.items():
+        for domain in mx.DOMAINS:
+            assert abs(row[f"p_{domain}"] - right[doc_id][domain]) < 1e-9
+    assert rows[902].n_tokens == 30_000 and rows[903].n_tokens == 7 and rows[900].n_tokens == rows[901].n_tokens == 0
+    # The rates are those of projected steps from 1 that end where the targets are met: no step leads further.
+    tokens = np.array([r.n_tokens for r in rows.values()], float)
+    soft = np.array([[right[i][d] for d in mx.DOMAINS] for i in rows])
+    natural = tokens @ soft
+    rate = np.ones(len(rows))
+    for _ in range(500):
+        misses = (tokens * rate) @ soft - natural * [mx.TARGETS[d] for d in mx.DOMAINS]
+        overlap = (soft * (tokens * (rate > 0))[:, None]).T @ soft
+        rate = np.maximum(rate - soft @ np.linalg.solve(overlap + np.eye(3) * (1e-6 * np.trace(overlap) + 1e-9), misses), 0)
+    assert np.allclose([r.rate for r in rows.values()], rate, atol=1e-3)
+
+
+def test_only_the_sample_of_labels_is_counted(corpus):
+    docs, labels = make_corpus(corpus)
+    few = {r.bucket for r in mx.fit_classifier(docs, labels, rows=40).collect()}
+    many = {r.bucket for r in mx.fit_classifier(docs, labels).collect()}
+    assert few != many and mx.fit_classifier(docs.repartition(7), labels.repartition(3), rows=40).count() == len(few)
+
+
+def test_clashing_columns_come_back(corpus):
+    docs = make_docs(corpus, ["a b", "c d"]).selectExpr("*", "1 as rate", "2 as _rate", "3 as copies", "4 as row", "5 as `a.b`", "6 as col")
+    rates = docs.select("doc_id", F.lit(2.0).alias("rate"))
+    rows = mx.apply_rates(docs, rates)
+    assert rows.columns == docs.columns and rows.count() == 4
+    assert {tuple(r)[5:] for r in rows.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
 def test_rates_take_effect(corpus):
     docs = make_docs(corpus, ["a"] * 1000 + [(None, "b")])
     rates = docs.select("doc_id", F.when(F.col("doc_id") < 500, 0.25).otherwise(1.5).alias("rate"))
