@@ -32,11 +32,14 @@ def parse_number(value: Column) -> Column:
     """Decimal text as a double; NULL when it is no number.
 
     The engine's cast also takes a type letter at the end (``12d``) and hexadecimal digits; those are no
-    decimal numbers here, while ``nan`` and ``inf`` are read as such.  Nearly all values end with a digit
-    and hold no ``x``; only the others meet the pattern.
+    decimal numbers here, while ``nan`` and ``inf`` are read as such.  Nearly all numbers end with a digit
+    and hold no ``x``; only the others meet the pattern.  Names and other words are told by their first letter, as a
+    cast that fails costs as much as many that do not.
     """
+    first = F.substring(value, 1, 1)
+    plausible = (first <= "9") | first.isin("n", "N", "i", "I")
     odd = ~F.substring(value, -1, 1).between("0", "9") | value.contains("x") | value.contains("X")
-    return F.when(~(odd & value.rlike(NOT_DECIMAL)), value.try_cast("double"))
+    return F.when(plausible & ~(odd & value.rlike(NOT_DECIMAL)), value.try_cast("double"))
 
 
 def convert_metric(value: Column, column: str) -> Column:

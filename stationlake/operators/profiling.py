@@ -215,25 +215,24 @@ def _partial_summaries(names: list[str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[_ColumnBuffer]] = {}
-        for whole in batches:
-            table = pa.Table.from_batches([whole])
-            for file in table.select(FILE_FIELDS).group_by(list(FILE_FIELDS)).aggregate([]).to_pylist():
-                part = table
-                if whole.num_rows != 1:
-                    keep = None
-                    for name, value in file.items():
-                        same = pc.is_null(table[name]) if value is None else pc.fill_null(pc.equal(table[name], value), False)
-                        keep = same if keep is None else pc.and_(keep, same)
-                    part = table.filter(keep).sort_by("source_row_number")
-                part = part.combine_chunks()
-                order = part["source_row_number"].combine_chunks().to_numpy(zero_copy_only=False)
-                texts, numbers = part["texts"].combine_chunks().flatten(), part["numbers"].combine_chunks().flatten()
-                known = numbers.is_valid().to_numpy(zero_copy_only=False)
-                plain = pc.fill_null(numbers, 0.0).to_numpy(zero_copy_only=False)
-                buffers = held.setdefault(tuple(file[n] for n in FILE_FIELDS), [_ColumnBuffer() for _ in names])
-                every = np.arange(0, len(texts), len(names))
-                for at, buffer in enumerate(buffers):
-                    buffer.add(order, texts.take(pa.array(every + at)), plain[at :: len(names)], known[at :: len(names)])
+        width = len(names)
+        for batch in batches:
+            files = [batch.column(at).to_pylist() for at in range(len(FILE_FIELDS))]
+            codes: dict[tuple, int] = {}
+            code = np.array([codes.setdefault(file, len(codes)) for file in zip(*files, strict=True)])
+            order = batch.column(len(FILE_FIELDS)).to_numpy()
+            by_file = np.lexsort((order, code))
+            texts, numbers = batch.column(4).flatten(), batch.column(5).flatten()
+            known = numbers.is_valid().to_numpy(zero_copy_only=False)
+            plain = pc.fill_null(numbers, 0.0).to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(code[by_file], np.arange(len(codes) + 1))
+            for at in range(width):
+                cells = by_file * width + at
+                column, seen, value = texts.take(pa.array(cells)), known[cells], plain[cells]
+                for file, n in codes.items():
+                    first, after = ends[n], ends[n + 1]
+                    buffers = held.setdefault(file, [_ColumnBuffer() for _ in names])
+                    buffers[at].add(order[by_file[first:after]], column.slice(first, after - first), value[first:after], seen[first:after])
             if len(held) > HELD_FILES:
                 yield passed_on(held)
                 held = {}
