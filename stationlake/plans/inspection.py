@@ -19,7 +19,7 @@ MODES = ("schema", "inventory", "profile")
 
 
 def _headers(spark: SparkSession, listed: DataFrame, folder: str) -> DataFrame:
-    """Probed headers as a stored table, so that archives are opened once."""
+    """Probed headers as a stored table, where nothing else of the archives is needed."""
     raw.probe_headers(listed).write.mode("overwrite").parquet(f"{folder}/headers")
     return spark.read.parquet(f"{folder}/headers")
 
@@ -67,7 +67,10 @@ def inspect_archives(
     folder = shared_folder(spark, "inspect")
     try:
         listed = raw.discover_archives(spark, root, departments, start_year, end_year)
-        headers = _headers(spark, listed, folder)
+        if mode == "schema":
+            headers, records = _headers(spark, listed, folder), None
+        else:
+            headers, records = raw.read_archives(spark, listed, folder)
         named = report_headers(headers)
         selected = headers.count()
         provenance = report_provenance(
@@ -78,8 +81,8 @@ def inspect_archives(
         readable = named.where(F.col("columns").isNotNull())
         has_rows = bool(readable.take(1))
         rows = None
-        if mode != "schema" and has_rows:
-            rows = raw.stage_archives(spark, headers, f"{folder}/rows")
+        if records is not None and has_rows:
+            rows = raw.parse_records(spark, records, headers, f"{folder}/rows")
         counts = profiling.archive_inventory(rows, readable) if rows is not None else None
         write_report(inventory_report(headers, counts), report_folder, "archive_inventory", provenance)
         groups = profiling.schema_groups(readable)
@@ -119,11 +122,11 @@ def explore_department(
     folder = shared_folder(spark, "explore")
     try:
         listed = raw.discover_archives(spark, root, {department}, start_year, end_year)
-        headers = _headers(spark, listed, folder)
-        if not headers.take(1):
+        if not listed.take(1):
             return {"archives": 0, "stations": 0, "errors": 1}
+        headers, records = raw.read_archives(spark, listed, folder)
         readable = report_headers(headers).where(F.col("columns").isNotNull())
-        rows = raw.stage_archives(spark, headers, f"{folder}/rows")
+        rows = raw.parse_records(spark, records, headers, f"{folder}/rows")
         reports = exploration_reports(rows, readable)
         counts = reports.pop("archive_inventory")
         reports = {"archive_inventory": inventory_report(headers, counts), **reports}

@@ -128,8 +128,7 @@ def stage_sources(spark: SparkSession, plan: SyncPlan, folder: str) -> DataFrame
         ],
         raw.ARCHIVE_SCHEMA,
     )
-    raw.probe_headers(listed).write.mode("overwrite").parquet(f"{folder}/headers")
-    headers = spark.read.parquet(f"{folder}/headers")
+    headers, records = raw.read_archives(spark, listed, folder)
     needed = F.array(*[F.lit(name) for name in IDENTITY_COLUMNS])
     reason = F.coalesce(
         "inspection_error",
@@ -142,7 +141,7 @@ def stage_sources(spark: SparkSession, plan: SyncPlan, folder: str) -> DataFrame
     first = failed.orderBy("filename").take(1)
     if first:
         raise ValueError(f"{first[0].filename}: {first[0].reason}")
-    rows = raw.stage_archives(spark, headers, f"{folder}/rows")
+    rows = raw.parse_records(spark, records, headers, f"{folder}/rows")
     digests = _source_frame(spark, plan.sources).select(
         F.col("filename").alias("source_file"), F.col("sha256").alias("source_sha256")
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import hashlib
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +81,73 @@ def test_staging_quotes_blank_lines_and_other_layouts(spark, folder):
     assert (rows[5].NUM_POSTE, rows[5].T, rows[5].NOM) == ("É", "4", "Café")
 
 
+def csv_records(content: bytes, delimiter: str):
+    """Records by the standard library, with the line breaks of the file."""
+    return [row for row in csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8", newline=""), delimiter=delimiter)]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64, 10_000])
+def test_records_are_split_like_csv(chunk):
+    dice = random.Random(chunk)
+    cells = ["a", "", "x y", '"q"', '"a;b"', '"two\nlines"', '"three\r\nlong\n"', '""', '"say ""hi"""', 'mid"dle', '"é"', '"""";']
+    for _ in range(60):
+        content = b"H1;H2\n" + b"".join(
+            ";".join(dice.choice(cells) for _ in range(dice.randrange(1, 4))).encode() + dice.choice([b"\n", b"\r\n", b"\r", b"\n"])
+            for _ in range(dice.randrange(12))
+        )
+        splitter, found = raw.RecordSplitter(), []
+        for at in range(0, len(content), chunk):
+            found += splitter.feed(content[at : at + chunk])
+        found += splitter.feed(b"", last=True)
+        right = csv_records(content, ";")
+        assert [n for n, _, _, _ in found] == list(range(1, len(right) + 1))
+        assert [next(csv.reader(io.StringIO(r.decode(), newline=""), delimiter=";"), []) for _, _, r, _ in found] == right
+        assert not any(broken for _, _, _, broken in found)
+
+
+def test_a_quote_that_is_never_closed_breaks_its_own_line_only(monkeypatch):
+    monkeypatch.setattr(raw, "MOST_RECORD_BYTES", 40)
+    lines = [b"A;B", b'1;"open', b"2;x", b'3;fine', b"4;" + b"y" * 50, b'5;"also open', b"6;z"]
+    splitter = raw.RecordSplitter()
+    found = splitter.feed(b"\n".join(lines)) + splitter.feed(b"", last=True)
+    assert [(n, line, r, b) for n, line, r, b in found] == [
+        (n, n, line, line in (lines[1], lines[5])) for n, line in enumerate(lines, 1)
+    ]
+
+
+def test_quoted_line_breaks_are_staged_and_numbered(spark, folder):
+    write_gzip(folder / "raw" / "H_01_2020-2024.csv.gz", [
+        "NUM_POSTE;NOM;T", '1;"PHARE\nDU NORD";2.5', '2;"A ""B"" C";3', "3;PLAIN;4", '4;"never closed;5', "5;LAST;6",
+    ])
+    headers, records = raw.read_archives(spark, raw.discover_archives(spark, str(folder / "raw")), str(folder / "work"))
+    rows = raw.parse_records(spark, records, headers, str(folder / "rows")).orderBy("source_row_number").collect()
+    assert [(r.source_row_number, r.NUM_POSTE, r.NOM, r.T) for r in rows if not r.is_malformed] == [
+        (2, "1", "PHARE\nDU NORD", "2.5"), (3, "2", 'A "B" C', "3"), (4, "3", "PLAIN", "4"), (6, "5", "LAST", "6"),
+    ]
+    assert [r.source_row_number for r in rows if r.is_malformed] == [5]
+    lines = {r.record_number: r.line_number for r in records.collect()}
+    assert lines == {1: 1, 2: 2, 3: 4, 4: 5, 5: 6, 6: 7}
+
+
+def test_every_archive_is_opened_once(spark, folder):
+    """Staged records alone give headers, encodings, rows and errors."""
+    write_gzip(folder / "raw" / "H_01_2020-2024.csv.gz", ["NOM;VALEUR", "Café;1"], "cp1252")
+    write_gzip(folder / "raw" / "H_02_2020-2024.csv.gz", ["\ufeffNOM,VALEUR", "Café,2"])
+    write_gzip(folder / "raw" / "H_03_2020-2024.csv.gz", [])
+    (folder / "raw" / "H_04_2020-2024.csv.gz").write_bytes(b"not gzip")
+    listed = raw.discover_archives(spark, str(folder / "raw"))
+    headers, records = raw.read_archives(spark, listed, str(folder / "work"))
+    found = {r.department: r for r in headers.collect()}
+    probed = {r.department: r for r in raw.probe_headers(listed).collect()}
+    for code in ("01", "02", "03"):
+        assert found[code] == probed[code]
+    assert found["04"].inspection_error and probed["04"].inspection_error
+    for path in (folder / "raw").iterdir():
+        path.write_bytes(b"gone")
+    rows = raw.parse_records(spark, records, headers, str(folder / "rows")).collect()
+    assert sorted((r.NOM, r.VALEUR) for r in rows) == [("Café", "1"), ("Café", "2")]
+
+
 def test_fingerprints_reuse_known_digests(spark, folder):
     path = write_gzip(folder / "H_44_2020-2024.csv.gz", [HEADER])
     listed = raw.discover_archives(spark, str(folder))
