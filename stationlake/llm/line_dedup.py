@@ -248,18 +248,19 @@ def drop_lines(docs: DataFrame, drops: DataFrame, least_chars: int = LEAST_CHARS
 
     New columns: n_lines (before), n_dropped, and ``text`` holds the lines that stay.
     """
-    per_doc = drops.groupBy("doc_id").agg(F.collect_set("digest").alias("_drops")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(per_doc, docs["doc_id"].cast("long") == per_doc["_doc"], "left").drop("_doc")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(
+    own = [name for name in docs.columns if name not in ("n_lines", "n_dropped")]
+    whole = F.struct(*(F.col(f"`{name}`") for name in own)).alias("row")
+    known = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("own_text"), whole)
+    per_doc = drops.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("digest").alias("drops"))
+    joined = known.join(per_doc, F.col("own_id") == F.col("drop_id"), "left")
+    lines = F.split("own_text", "\n", -1)
+    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(
         lines,
-        lambda line: (F.length(line) < least_chars) | ~F.coalesce(F.array_contains("_drops", _digest(line_key(line))), F.lit(False)),
+        lambda line: (F.length(line) < least_chars) | ~F.coalesce(F.array_contains("drops", _digest(line_key(line))), F.lit(False)),
     ))
-    return (
-        joined.withColumns({"n_lines": F.size(lines).cast("long"), "_kept": kept})
-        .withColumns({"n_dropped": F.col("n_lines") - F.size("_kept"), "text": F.array_join("_kept", "\n")})
-        .drop("_drops", "_kept")
-    )
+    counted = joined.select("row", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    fields = [F.array_join("kept", "\n").alias("text") if name == "text" else F.col("row")[name].alias(name) for name in own]
+    return counted.select(*fields, "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
 
 
 class LineIndex:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import random
 from collections import Counter
 
+import public_tokenizers
+import tiktoken
+import xxhash
+
 import corpus_pipeline as pipeline
-from stationlake.llm import minhash
+from stationlake.llm import minhash, mixing
 from stationlake.session import stored
-from tests.llm.conftest import make_docs
+from tests.llm.conftest import make_docs, make_labels
+from tests.llm.test_mixing import plain_posteriors
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +44,113 @@ def test_rows_that_need_care(corpus):
             if number == 2 and ids:
                 assert ids[2] >= 1
             docs = after if number in (0, 1) and after.count() else docs
+
+
+BOILER = "All of these words are the very same in each of many documents here."
+
+
+def fixture(spark, folder):
+    """Clean, garbled, copied and toxic documents with a line that several share, and labels of some."""
+    chance = random.Random(31)
+    usual = ["the", "of", "and", "house", "water", "little", "garden", "stone", "river", "after", "before", "long"]
+    texts, labels = [], []
+    for n in range(160):
+        words = chance.choices(usual, k=chance.randint(40, 90))
+        kind = "good"
+        if n % 8 == 7:
+            kind, words = "toxic", words[:20] + ["dolt"] * 6 + words[20:]
+        text = " ".join(words) + "."
+        if n % 10 == 3:
+            kind, text = "poor", "".join(chance.choices("XQZ#|9~", k=400))
+        if n % 6 == 0:
+            text += "\n" + BOILER
+        texts.append(text)
+        labels.append((n, int(kind != "poor"), int(kind == "toxic")))
+    texts += [texts[1], texts[2] + " end", None, ""]
+    docs = make_docs(spark, texts).selectExpr("*", "'x' as _rate", "1 as _own", "2 as _drops", "3 as kept", "4 as row")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    make_labels(spark, labels[:120]).write.parquet(f"{folder}/labels.parquet")
+    return texts, labels
+
+
+def plain_lines(texts):
+    held = {}
+    for doc_id, text in texts.items():
+        for line in text.split("\n"):
+            key = line.strip().lower()
+            if len(key) >= 40:
+                held.setdefault(key, set()).add(doc_id)
+    gone = {key: max(ids) for key, ids in held.items() if len(ids) >= 5}
+    return {
+        doc_id: "\n".join(line for line in text.split("\n") if gone.get(line.strip().lower(), doc_id) == doc_id)
+        for doc_id, text in texts.items()
+    }
+
+
+def plain_near_copies(texts):
+    sets = {}
+    for doc_id, text in texts.items():
+        words = text.lower().split()
+        sets[doc_id] = {tuple(words[n : n + 5]) for n in range(max(1, len(words) - 4))} if words else set()
+    group = {doc_id: doc_id for doc_id in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    return {doc_id: text for doc_id, text in texts.items() if group[doc_id] == doc_id}
+
+
+def signed(number):
+    return number - ((number >> 63) << 64)
+
+
+def test_every_stage_equals_a_plain_version(corpus, folder):
+    texts, labels = fixture(corpus, folder)
+    kinds = {n: "toxic" if toxic else "good" if quality else "poor" for n, quality, toxic in labels}
+    docs = corpus.read.parquet(f"{folder}/documents.parquet")
+
+    def after(number, frame):
+        made = stored(pipeline.STAGES[number][1](corpus, frame, str(folder)), "plain")
+        return made, [(r.doc_id, r.text) for r in made.collect()]
+
+    _, rows = after(0, docs)
+    assert all(texts[doc_id] == text for doc_id, text in rows)
+    kept = {doc_id for doc_id, _ in rows}
+    # Garbled and empty texts go; those with words that trusted text never has may; of the clean ones at most one in fifty.
+    clean = {n for n, text in enumerate(texts) if text and kinds.get(n, "good") == "good"}
+    assert kept <= {n for n, text in enumerate(texts) if text and kinds.get(n) != "poor"}
+    assert len(kept & clean) >= 0.98 * len(clean)
+
+    # The other stages take all documents, so that each is held against its plain version on every kind.
+    lined, rows = after(1, docs)
+    right = plain_lines({n: text or "" for n, text in enumerate(texts)})
+    assert dict(rows) == right and any(right[n] != texts[n] for n in clean)
+
+    single, rows = after(2, lined)
+    left = plain_near_copies(right)
+    assert dict(rows) == left and len(left) < len(right)
+
+    mixed, rows = after(3, single)
+    soft = plain_posteriors(list(left.items()), [r for r in labels[:120] if r[0] in left])
+    rates = {r.doc_id: r for r in mixing.mix(single, corpus.read.parquet(f"{folder}/labels.parquet")).collect()}
+    expected = Counter()
+    for doc_id in left:
+        assert all(abs(rates[doc_id][f"p_{d}"] - soft[doc_id][d]) < 1e-6 for d in mixing.DOMAINS)
+        number = xxhash.xxh64_intdigest(b"mix", seed=42)
+        chance = signed(xxhash.xxh64_intdigest(int(doc_id).to_bytes(8, "little"), seed=number)) % (1 << 30) / (1 << 30)
+        expected[doc_id] = int(rates[doc_id].rate + chance)
+    assert Counter(doc_id for doc_id, _ in rows) == +expected and all(left[doc_id] == text for doc_id, text in rows)
+    assert sum(kinds.get(doc_id) == "toxic" for doc_id in expected if expected[doc_id]) < sum(kinds.get(n) == "toxic" for n in left)
+
+    coded, _ = after(4, mixed)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for row in coded.collect():
+        assert list(row.token_ids) == library.encode_ordinary(row.text) and row.decoded == row.text == left[row.doc_id]
+    assert Counter(r.doc_id for r in coded.select("doc_id").collect()) == +expected
+
+    whole = pipeline.run(corpus, str(folder)).collect()
+    assert {r.doc_id for r in whole} <= kept and all(r.text in (texts[r.doc_id], right[r.doc_id]) for r in whole)
+    assert len({r.doc_id for r in whole} & clean) >= 0.9 * len(set(left) & clean)
