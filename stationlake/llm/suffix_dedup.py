@@ -22,8 +22,8 @@ Names are 64 bits at depth 32 and pairs of 64 bits at depth 100; the chance of a
 grows with the square of the compared runs, 2e-5 for 20 million.
 
 Defined cases: null text is empty; texts of fewer than ``DEPTH`` bytes are kept; rows with a null id stay whole and
-count for nobody; rows that repeat an id and its text count as one occurrence and are treated alike; an empty table gives
-an empty table; other columns are ignored.
+count for nobody; rows that repeat an id and its text count as one occurrence and are treated alike; rows that repeat an id with
+another text are texts of their own, in the order of a digest; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,9 +49,10 @@ MANY_RUNS = 32
 PIECE = 1 << 20
 
 _BYTES = np.random.RandomState(5).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-# A run's first position and its length (under 128) travel as one number.
-LENGTH_BITS = 7
-LENGTHS = (1 << LENGTH_BITS) - 1
+# A run's text among those of one id (a digest), first position and length (under 128) travel as one number.
+LENGTH_BITS, FIRST_BITS, TWIN_BITS = 7, 31, 25
+LENGTHS, FIRSTS = (1 << LENGTH_BITS) - 1, (1 << FIRST_BITS) - 1
+TWIN_SHIFT = LENGTH_BITS + FIRST_BITS
 
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -119,11 +120,16 @@ def positions(own: list[int], strings: int) -> np.ndarray:
     """Which positions lie in some runs, given as places (first position and length in one number)."""
     wanted = np.zeros(max(0, strings), bool)
     for place in own:
-        first = place >> LENGTH_BITS
+        first = place >> LENGTH_BITS & FIRSTS
         wanted[first : first + (place & LENGTHS)] = True
     return wanted
 
 
+def twin() -> Column:
+    """Digest of a text that tells rows of one id apart; two texts of one id share it with a chance of 3e-8."""
+    return F.shiftrightunsigned(F.xxhash64("text"), 64 - TWIN_BITS)
+
+
 def _contents(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each text."""
     column = column.cast(pa.large_binary())
@@ -148,20 +154,22 @@ def _first_rows(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.n
 def sampled_runs(docs: DataFrame, depth: int, speaker: int, within: bool = False) -> DataFrame:
     """Runs of all texts: speaker, whole, doc_id, place, and what the batch knows already.
 
-    ``within`` is for (doc_id, text, runs): only positions in these runs count.  ``state`` is 0 for a row to
+    ``docs`` has doc_id, text, twin, and ``within`` is for runs besides: only positions in these count.  ``state`` is 0 for a row to
     compare, 1 for a run equal to an earlier one of its batch, 2 for a run to look at more
     deeply, and 3 for a row that only tells that its speaker has many runs.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            lists = batch.column(2).to_pylist() if within else [None] * batch.num_rows
+            lists = batch.column(3).to_pylist() if within else [None] * batch.num_rows
             parts = [
                 runs(content, depth, speaker, positions(own, len(content) - depth + 1) if within else None)
                 for content, own in zip(_contents(batch.column(1)), lists, strict=True)
             ]
             said, whole, first, length = (np.concatenate(columns) for columns in zip(*parts, strict=True))
-            doc = np.repeat(batch.column(0).to_numpy(), [len(part[0]) for part in parts])
+            counts = [len(part[0]) for part in parts]
+            doc = np.repeat(batch.column(0).to_numpy(), counts)
+            first = first | np.repeat(batch.column(2).to_numpy(), counts) << FIRST_BITS
             state = np.where(_first_rows([whole, said], doc, first), 0, 1).astype(np.int8)
             sent = np.flatnonzero(state == 0)
             found, which, count = np.unique(said[sent], return_inverse=True, return_counts=True)
@@ -204,8 +212,8 @@ def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, content, own in zip(
-                batch.column(0).to_pylist(), _contents(batch.column(1)), batch.column(2).to_pylist(), strict=True
+            for doc_id, content, own_twin, own in zip(
+                batch.column(0).to_pylist(), _contents(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True
             ):
                 at = np.flatnonzero(positions(own, len(content) - depth + 1))
                 for start in range(0, len(content) - depth + 1, PIECE):
@@ -213,7 +221,8 @@ def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if len(here):
                         longer = names(content[start : start + PIECE + depth - 1], 64)
                         one, two = longer[here - start], longer[here - start + depth - 64]
-                        for column, value in zip(columns, (one, two, np.full(len(here), doc_id), here), strict=True):
+                        place = here | own_twin << FIRST_BITS
+                        for column, value in zip(columns, (one, two, np.full(len(here), doc_id), place), strict=True):
                             column.append(value)
             if not columns[0]:
                 continue
@@ -234,22 +243,24 @@ def later_strings(with_runs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_bytes, kept bytes and removed byte spans of every document."""
-    needed = docs.select(F.col("doc_id").cast("long"), "text")
+    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", twin().alias("twin"))
     known = needed.where("doc_id IS NOT NULL")
     judged = stored(judged_runs(sampled_runs(known, depth, SPEAKERS[0])), "repeated-runs")
-    by_id = known.repartition("doc_id")
+    by_id = known.repartition("doc_id", "twin")
 
     def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
+        own = F.shiftright("place", TWIN_SHIFT).alias("twin")
+        return rows.groupBy("doc_id", own).agg(F.collect_list("place").alias("runs"))
 
     def at(rows: DataFrame) -> DataFrame:
-        return by_id.join(lists(rows), "doc_id").select("doc_id", "text", "runs")
+        return by_id.join(lists(rows), ["doc_id", "twin"]).select("doc_id", "text", "twin", "runs")
 
-    deeper = judged_runs(sampled_runs(at(judged.where("NOT later")), depth, SPEAKERS[1], within=True))
+    # Both what is decided and what is not are needed, so the second sort is kept, too.
+    deeper = stored(judged_runs(sampled_runs(at(judged.where("NOT later")), depth, SPEAKERS[1], within=True)), "deeper-runs")
     strings = later_strings(at(deeper.where("NOT later")), depth)
     found = judged.where("later").drop("later").unionByName(deeper.where("later").drop("later")).unionByName(strings)
     gone = lists(found)
-    joined = by_id.join(gone, "doc_id", "left").select("doc_id", "text", "runs")
+    joined = by_id.join(gone, ["doc_id", "twin"], "left").select("doc_id", "text", "runs")
     nobody = needed.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(gone.schema["runs"].dataType).alias("runs"))
     span = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 
@@ -264,7 +275,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     continue
                 change = np.zeros(len(content) + 1, np.int32)
                 places = np.array(own, np.int64)
-                first = places >> LENGTH_BITS
+                first = places >> LENGTH_BITS & FIRSTS
                 after = first + (places & LENGTHS) - 1 + depth
                 np.add.at(change, first, 1)
                 np.add.at(change, after, -1)

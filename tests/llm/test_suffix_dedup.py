@@ -79,3 +79,18 @@ def test_null_ids_and_repeated_rows(corpus):
     alone = brute([(4, "x" + text)])[4]
     assert kept == sorted([("None", text.encode())] * 2 + [("4", alone)] * 2)
     assert sd.remove_repeats(make_docs(corpus, [])).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(corpus):
+    chance = random.Random(3)
+    one, two, three = ("".join(chance.choices("abcdef ", k=300)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (2, three + one[:150]), (3, two[:120])]
+    found = sorted((r.doc_id, bytes(r.kept).decode()) for r in sd.remove_repeats(make_docs(corpus, rows)).collect())
+    assert found == sorted([(1, one), (2, ""), (2, two), (2, two), (2, three), (3, "")])
+
+
+def test_very_long_texts(corpus):
+    chance = random.Random(4)
+    long = "".join(chance.choices("abcdefgh", k=300_000))
+    found = {r.doc_id: r.n_bytes - len(r.kept) for r in sd.remove_repeats(make_docs(corpus, [long, long[1000:200_000], "z" * 200_000])).collect()}
+    assert found == {0: 0, 1: 199_000, 2: 199_999}
