@@ -27,6 +27,11 @@ def parse_observation_time(raw: Column) -> Column:
     )
 
 
+def hour_of_year(instant: Column) -> Column:
+    """Number of an hour in its UTC year, from 0."""
+    return ((F.dayofyear(instant) - 1) * 24 + F.hour(instant)).cast("bigint")
+
+
 def is_valid_time(raw: Column) -> Column:
     return F.coalesce(parse_observation_time(raw).isNotNull(), F.lit(False))
 

@@ -5,20 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.functions import values
+from stationlake.functions import timeops, values
 from stationlake.schema import (
     DATASET_VERSION,
     LOCAL_ZONE,
     NETWORK_CATEGORY,
     TRANSFORMATION_VERSION,
 )
+from stationlake.session import stored
 
 FACT_KEY = ("network_category", "NUM_POSTE", "observation_time_utc")
 
 
+def hours_by_year(rows: DataFrame, keys: list[str], instant: Column) -> DataFrame:
+    """Rows and different hours per group of keys and UTC year.
+
+    The hours are bits of one bitmap per group, combined before the shuffle: a
+    station-year travels as one row, not as its eight thousand observations.
+    """
+    hours = F.bitmap_count(F.bitmap_construct_agg(timeops.hour_of_year(instant)))
+    return rows.groupBy(*keys, F.year(instant).alias("hour_year")).agg(F.count("*").alias("rows"), hours.alias("hours"))
+
+
+def in_crowded_years(rows: DataFrame, keys: list[str], instant: Column) -> DataFrame:
+    """The rows of groups and years that have more rows than hours: all others hold no hour twice.
+
+    Those years are stored, so that their size is known before rows meet them.
+    """
+    counted = hours_by_year(rows, keys, instant).where(F.col("rows") > F.col("hours"))
+    names = {name: f"crowded_{name}" for name in (*keys, "hour_year")}
+    crowded = stored(counted.select(*[F.col(name).alias(other) for name, other in names.items()]), "crowded-years")
+    same = F.year(instant).eqNullSafe(crowded["crowded_hour_year"])
+    for name in keys:
+        same = same & rows[name].eqNullSafe(crowded[names[name]])
+    return rows.join(crowded, same, "left_semi")
+
+
 def duplicate_station_hours(facts: DataFrame) -> DataFrame:
     """Station-hour keys stored more than once."""
-    return facts.groupBy(*FACT_KEY).agg(F.count("*").alias("copies")).where("copies > 1")
+    suspects = in_crowded_years(facts.select(*FACT_KEY), ["network_category", "NUM_POSTE"], F.col("observation_time_utc"))
+    return suspects.groupBy(*FACT_KEY).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def compare_keys(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions import timeops, values
+from stationlake.operators.audits import hours_by_year, in_crowded_years
 from stationlake.schema import DASHBOARD_COLUMNS
 
 FILE_FIELDS = ("source_file", "period_start", "period_end")
@@ -314,11 +315,22 @@ def column_profile(rows: DataFrame, headers: DataFrame | None = None) -> DataFra
 
 
 def repeated_keys(rows: DataFrame) -> DataFrame:
-    """Repeats of a (station, raw time) key per file, beyond the first."""
-    keys = well_formed(completed(rows, STATION, RAW_TIME)).groupBy("source_file", STATION, RAW_TIME).count()
-    return keys.groupBy("source_file").agg(
-        F.sum(F.col("count") - 1).alias("duplicate_station_timestamp_count")
+    """Repeats of a (station, raw time) key per file, beyond the first.
+
+    A valid time is one hour, so a station-year's repeats are its rows less its hours; only keys
+    without a valid time are grouped one by one.
+    """
+    name = "duplicate_station_timestamp_count"
+    if STATION not in rows.columns or RAW_TIME not in rows.columns:
+        return rows.select("source_file").distinct().withColumn(name, F.lit(0).cast("bigint"))
+    instant = timeops.parse_observation_time(F.col(RAW_TIME))
+    keyed = well_formed(rows).select("source_file", STATION, RAW_TIME, instant.alias("instant"))
+    timed = hours_by_year(keyed.where("instant IS NOT NULL"), ["source_file", STATION], F.col("instant"))
+    others = keyed.where("instant IS NULL").groupBy("source_file", STATION, RAW_TIME).agg(
+        F.count("*").alias("rows"), F.lit(1).cast("bigint").alias("hours")
     )
+    both = timed.select("source_file", "rows", "hours").unionByName(others.select("source_file", "rows", "hours"))
+    return both.groupBy("source_file").agg(F.sum(F.col("rows") - F.col("hours")).alias(name))
 
 
 def distinct_values(rows: DataFrame) -> DataFrame:
@@ -447,12 +459,13 @@ def station_year_coverage(rows: DataFrame) -> DataFrame:
 def duplicate_observations(rows: DataFrame) -> DataFrame:
     """Station-hours recorded more than once, with the files they come from.
 
-    Repeated keys are found by counting alone (numbers in the buffers, combined
-    before the shuffle); file names are gathered for those keys only.
+    Only station-years with more rows than hours can hold any, and only their rows are shuffled: keys are
+    counted first (numbers in the buffers), and file names gathered for repeated keys alone.
     """
-    keyed = timed_rows(rows).select(
-        F.col(STATION).alias("station_id"), F.col(RAW_TIME).alias("timestamp"), "source_file"
+    timed = timed_rows(rows).select(
+        F.col(STATION).alias("station_id"), F.col(RAW_TIME).alias("timestamp"), "source_file", "instant"
     )
+    keyed = in_crowded_years(timed, ["station_id"], F.col("instant")).drop("instant")
     keys = ["station_id", "timestamp"]
     repeated = keyed.groupBy(*keys).count().where("count > 1").select(*keys)
     per_file = keyed.join(repeated, keys, "left_semi").groupBy(*keys, "source_file").count()

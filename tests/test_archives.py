@@ -8,6 +8,7 @@ import hashlib
 import io
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -329,6 +330,47 @@ def test_profile_of_no_rows(spark):
     assert profiling.archive_profile(frame.where("false")).count() == 0
 
 
+LAYOUT = (
+    "source_file string, period_start int, period_end int, source_row_number bigint, is_malformed boolean, "
+    "NUM_POSTE string, AAAAMMJJHH string, T string"
+)
+
+
+def test_repeated_hours_by_bitmaps_equal_a_plain_count(spark):
+    dice = random.Random(5)
+    rows = []
+    for n in range(3000):
+        station = dice.choice(["", "1", "2", None, "hot", "hot", "hot"])
+        year, day, hour = dice.choice([2019, 2020]), dice.randrange(1, 29), dice.randrange(24)
+        time = dice.choice([f"{year}12{day:02d}{hour:02d}"] * 8 + ["bad", "", None, f"{year}0101{hour:02d}"])
+        rows.append((f"f{n % 3}", 2019, 2020, n, n % 50 == 0, station, time, "1"))
+    frame = spark.createDataFrame(rows, LAYOUT)
+    good = [r for r in rows if not r[4]]
+    keys = Counter((r[0], r[5], r[6]) for r in good)
+    repeats = Counter()
+    for (file, _, _), count in keys.items():
+        repeats[file] += count - 1
+    found = {r.source_file: r.duplicate_station_timestamp_count for r in profiling.repeated_keys(frame).collect()}
+    assert found == dict(repeats)
+    times = Counter((r[5] or "", r[6]) for r in good if r[6] and r[6] != "bad")
+    found = {(r.station_id, r.timestamp): r.record_count for r in profiling.duplicate_observations(frame).collect()}
+    assert found == {key: count for key, count in times.items() if count > 1}
+
+
+def test_clean_observations_are_not_shuffled(spark, folder):
+    """A leap year of hours of many stations: only station-years travel."""
+    hours = spark.range(8784).selectExpr("date_format(timestamp '2020-01-01' + make_interval(0, 0, 0, 0, cast(id AS int)), 'yyyyMMddHH') AS AAAAMMJJHH")
+    clean = hours.selectExpr("'f' AS source_file", "2020 AS period_start", "2020 AS period_end", "1L AS source_row_number", "false AS is_malformed", "'7' AS NUM_POSTE", "AAAAMMJJHH", "'1' AS T")
+    clean.write.parquet(str(folder / "clean"))
+    result = profiling.duplicate_observations(spark.read.parquet(str(folder / "clean")))
+    assert result.count() == 0
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    # The semi join with the (few, stored) crowded years comes before any shuffle by timestamp.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin [crowded" not in plan
+    again = profiling.duplicate_observations(spark.read.parquet(str(folder / "clean")).unionByName(clean.limit(3)))
+    assert sorted(r.record_count for r in again.collect()) == [2, 2, 2]
+
+
 def test_type_letters_and_hexadecimal_digits_are_no_numbers(spark):
     texts = ["12", "-1.5e3", ".5", "nan", "inf", "12d", "3F", "1.f", "0x1p3", "12d ", "abc", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select(values.parse_number(F.col("v")).alias("n"))
