@@ -148,22 +148,30 @@ def stage_sources(spark: SparkSession, plan: SyncPlan, folder: str) -> DataFrame
     return rows.join(digests, "source_file")
 
 
-def validate_rows(rows: DataFrame, plan: SyncPlan, core: DataFrame) -> dict:
-    """Counts of the rows to publish, or an error that stops the publication."""
+def stage_tables(rows: DataFrame, plan: SyncPlan, run_id: str, folder: str) -> tuple[dict[str, DataFrame], dict]:
+    """Facts of the affected years written aside, and counts that all agree; or an error before anything is published.
+
+    What the archives hold, what each write counted while it wrote, and what is found in the staged files must be
+    the same, and no station-hour may be there twice.
+    """
     problem = ingest.first_problem(rows, plan.years)
     if problem:
         raise ValueError(problem)
-    counted = ingest.ingestion_counts(ingest.rows_of_years(rows, plan.years)).first()
-    # Row reconciliation and key uniqueness come from one grouping of the keys.
-    keys = core.groupBy(*audits.FACT_KEY).agg(F.count("*").alias("copies"))
-    checked = keys.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.count_if(F.col("copies") > 1).alias("repeated")
-    ).first()
-    if checked.rows != counted.source_rows:
-        raise ValueError(f"Row reconciliation failed: source={counted.source_rows}, facts={checked.rows}")
-    if checked.repeated:
-        raise ValueError(f"Duplicate station-hour keys: {checked.repeated}")
-    return {
+    affected = ingest.rows_of_years(rows, plan.years)
+    counted = ingest.ingestion_counts(affected).first()
+    staged, problems = {}, []
+    for table in TABLE_METRICS:
+        staged[table], written = tables.stage_facts(ingest.typed_facts(affected, table, run_id), folder, table)
+        found = staged[table].count()
+        expected = counted.core_rows if table == "hourly_core" else counted[table]
+        if not expected == written == found:
+            problems.append(f"{table}: source={expected}, written={written}, stored={found}")
+    if counted.source_rows != counted.core_rows or problems:
+        raise ValueError("Row reconciliation failed: " + "; ".join(problems or [f"source={counted.source_rows}, core={counted.core_rows}"]))
+    repeated = audits.duplicate_station_hours(staged["hourly_core"]).count()
+    if repeated:
+        raise ValueError(f"Duplicate station-hour keys: {repeated}")
+    return staged, {
         "source_rows": counted.source_rows,
         "core_rows": counted.core_rows,
         "extension_rows": {table: counted[table] for table in EXTENSION_TABLES},
@@ -190,14 +198,10 @@ def _manifest_frame(spark: SparkSession, plan: SyncPlan, run_id: str, years: lis
     return spark.createDataFrame([record], MANIFEST_FIELDS)
 
 
-def publish(
-    spark: SparkSession, rows: DataFrame, root: str, plan: SyncPlan, run_id: str, folder: str
-) -> None:
-    """Write facts and extensions of the affected years, then the station tables."""
-    affected = ingest.rows_of_years(rows, plan.years)
+def publish(spark: SparkSession, root: str, plan: SyncPlan, folder: str) -> None:
+    """Move the staged facts of the affected years into place, then write the station tables."""
     for table in TABLE_METRICS:
-        facts = ingest.typed_facts(affected, table, run_id)
-        tables.replace_fact_partitions(facts, root, table, plan.department, list(plan.years))
+        tables.publish_partitions(spark, folder, root, table, plan.department, list(plan.years))
     core = read_table(spark, root, "hourly_core").where(F.col("department") == plan.department)
     ranges = stored(stations.station_ranges(core), "station-ranges", folder)
     tables.write_station_dimension(stations.dimension_of(ranges), root, "stations", plan.department)
@@ -210,7 +214,7 @@ def sync_department(
     spark: SparkSession, raw_root: str, analytics_root: str, dictionary_path: str,
     department: str, rebuild: bool = False,
 ) -> SyncResult:
-    """Publish a department's changed years; nothing is written unless all rows pass.
+    """Publish a department's changed years; nothing is published unless all rows pass.
 
     The manifest comes last, so an interrupted run is simply repeated.  Plain
     Parquet folders give no atomic change of several tables, and none is claimed.
@@ -225,9 +229,8 @@ def sync_department(
     folder = shared_folder(spark, "sync")
     try:
         rows = stage_sources(spark, plan, folder)
-        core = ingest.typed_facts(ingest.rows_of_years(rows, plan.years), "hourly_core", run_id)
-        counts = validate_rows(rows, plan, core)
-        publish(spark, rows, analytics_root, plan, run_id, folder)
+        _, counts = stage_tables(rows, plan, run_id, folder)
+        publish(spark, analytics_root, plan, folder)
         metrics = metric_dimension(spark, read_dictionary(spark, dictionary_path))
         tables.write_small_table(metrics, analytics_root, "metrics", ["owning_table", "source_mnemonic"])
         years = tables.materialized_years(spark, analytics_root, plan.department)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.schema import fact_schema
@@ -50,6 +50,31 @@ def replace_fact_partitions(facts: DataFrame, root: str, table: str, department:
             delete(spark, folder)
 
 
+def stage_facts(facts: DataFrame, folder: str, table: str) -> tuple[DataFrame, int]:
+    """Facts written aside under the layout of their table, and the rows that the write itself counted."""
+    spark = facts.sparkSession
+    path = table_path(folder, table)
+    schema = fact_schema(table)
+    seen = Observation(f"staged-{table}")
+    arranged = arrange_facts(facts.select(*schema.fieldNames())).observe(seen, F.count(F.lit(1)).alias("rows"))
+    with settings(spark, adaptive_advisoryPartitionSizeInBytes=FILE_BYTES):
+        arranged.write.mode("overwrite").option("compression", "zstd").partitionBy(*PARTITION).parquet(path)
+    return spark.read.schema(schema).parquet(path), seen.get["rows"]
+
+
+def publish_partitions(
+    spark: SparkSession, folder: str, root: str, table: str, department: str, years: list[int]
+) -> None:
+    """Move staged (department, year) partitions into their table; affected years without staged rows go."""
+    staged, live = (f"{table_path(base, table)}/department={department}" for base in (folder, root))
+    for year in sorted(years):
+        target = f"{live}/year={year}"
+        if exists(spark, target):
+            delete(spark, target)
+        if exists(spark, f"{staged}/year={year}"):
+            rename(spark, f"{staged}/year={year}", target)
+
+
 def materialized_years(spark: SparkSession, root: str, department: str) -> list[int]:
     folders = child_folders(spark, f"{table_path(root, 'hourly_core')}/department={department}")
     return sorted(int(name.split("=", 1)[1]) for name in folders if name.startswith("year="))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,37 @@ def test_manifest_rules(spark, folder):
     }
 
 
+def test_tampered_staging_is_found_before_anything_is_replaced(spark, folder, monkeypatch):
+    archive(folder, "H_44_2020-2024.csv.gz", line("2023010100"), line("2024010100"))
+    assert run(spark, folder).status == "synchronized"
+    live = {p: p.read_bytes() for p in (folder / "out/facts").rglob("*.parquet")}
+    archive(folder, "H_44_2020-2024.csv.gz", line("2023010100", "1"), line("2024010100", "1"), line("2024010101", t10="3"))
+    whole = tables.stage_facts
+
+    def lossy(facts, target, table):
+        staged, written = whole(facts, target, table)
+        if table == "hourly_core":
+            next(Path(tables.table_path(target, table).removeprefix("file:")).rglob("year=2024/*.parquet")).unlink()
+        return facts.sparkSession.read.schema(staged.schema).parquet(tables.table_path(target, table)), written
+
+    monkeypatch.setattr(tables, "stage_facts", lossy)
+    result = run(spark, folder)
+    assert result.status == "failed" and "hourly_core: source=3, written=3, stored=1" in result.error
+    assert {p: p.read_bytes() for p in (folder / "out/facts").rglob("*.parquet")} == live
+    monkeypatch.undo()
+    assert run(spark, folder).status == "synchronized"
+    values = {r.T for r in read_table(spark, str(folder / "out"), "hourly_core").collect()}
+    assert values == {1.0, 12.5}
+
+
+def test_quoted_line_breaks_are_published(spark, folder):
+    archive(folder, "H_44_2020-2024.csv.gz", line("2024010100", name='"PORT\nDU SUD"'), line("2024010101"))
+    result = run(spark, folder)
+    assert result.status == "synchronized", result.error
+    rows = read_table(spark, str(folder / "out"), "hourly_core").orderBy("AAAAMMJJHH").collect()
+    assert [(r.NOM_USUEL, r.source_row_number) for r in rows] == [("PORT\nDU SUD", 2), ("PORT", 3)]
+
+
 def test_hot_department_year_spreads_over_files(spark, folder, monkeypatch):
     # One department-year with nearly all rows must not end up in one task.
     monkeypatch.setattr(tables, "FILE_BYTES", "64k")
