@@ -202,7 +202,8 @@ def publish(spark: SparkSession, root: str, plan: SyncPlan, folder: str) -> None
     """Move the staged facts of the affected years into place, then write the station tables."""
     for table in TABLE_METRICS:
         tables.publish_partitions(spark, folder, root, table, plan.department, list(plan.years))
-    core = read_table(spark, root, "hourly_core").where(F.col("department") == plan.department)
+    # A department whose last archive was removed leaves no facts.
+    core = read_table(spark, root, "hourly_core", may_be_empty=True).where(F.col("department") == plan.department)
     ranges = stored(stations.station_ranges(core), "station-ranges", folder)
     tables.write_station_dimension(stations.dimension_of(ranges), root, "stations", plan.department)
     tables.write_station_dimension(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stationlake.schema import SOURCE_FILE_SCHEMA, TABLE_METRICS, fact_schema
-from stationlake.sources.files import has_data
+from stationlake.sources.files import exists, has_data
 
 STATION_SCHEMA = (
     "network_category string, NUM_POSTE string, NOM_USUEL string, LAT double, LON double, ALTI int, "
@@ -66,14 +66,19 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{TABLE_PATHS[table]}"
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table with its declared schema; no rows where nothing is stored.
+def read_table(spark: SparkSession, root: str, table: str, may_be_empty: bool | None = None) -> DataFrame:
+    """A stored table with its declared schema.
 
-    Declaring the schema keeps department codes text, needs no footer reads, and
-    gives columns that older files lack as NULL.
+    Declaring the schema keeps department codes text, needs no footer reads, and gives columns that
+    older files lack as NULL.  A root that does not exist is an error, and so are missing core facts (unless
+    ``may_be_empty``); extensions and metadata that were never written have no rows.
     """
     path = table_path(root, table)
     if not has_data(spark, path):
+        if not exists(spark, root):
+            raise FileNotFoundError(f"There is no dataset at {root}")
+        if not (table != "hourly_core" if may_be_empty is None else may_be_empty):
+            raise FileNotFoundError(f"The dataset at {root} has no {table}")
         return spark.createDataFrame([], TABLE_SCHEMAS[table])
     return spark.read.schema(TABLE_SCHEMAS[table]).parquet(path)
 

@@ -65,6 +65,21 @@ def test_boundaries_reject_bad_documents(read):
         read({"type": "Feature"})
 
 
+def test_every_document_and_feature_is_judged(spark, folder):
+    good = collection(("01", "Polygon", [SQUARE]))
+    (folder / "a.json").write_text(json.dumps(good))
+    assert read_boundaries(spark, str(folder)).count() == 1
+    for text, problem in (
+        ('{"type": "FeatureCollection", "features": [', "no valid JSON"), ("{}", "not a GeoJSON"),
+        ('{"type": "FeatureCollection"}', "without features"),
+        (json.dumps(collection(("02", "Polygon", [[[0, 0], [1], [1, 1]]]))), "coordinates"),
+        (json.dumps(collection(("02", "MultiPolygon", [SQUARE]))), "coordinates"),
+    ):
+        (folder / "b.json").write_text(text)
+        with pytest.raises(ValueError, match=f"b.json.*{problem}"):
+            read_boundaries(spark, str(folder))
+
+
 def ring_contains(x, y, ring):
     inside = False
     for (x1, y1), (x2, y2) in zip([ring[-1], *ring[:-1]], ring):

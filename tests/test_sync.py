@@ -212,6 +212,14 @@ def test_manifest_rules(spark, folder):
     }
 
 
+def test_a_missing_root_is_an_error(spark, folder):
+    with pytest.raises(FileNotFoundError, match="misspelt"):
+        read_table(spark, str(folder / "misspelt"), "stations")
+    with pytest.raises(FileNotFoundError, match="hourly_core"):
+        read_table(spark, str(folder), "hourly_core")
+    assert read_table(spark, str(folder), "hourly_snow").count() == 0
+
+
 def test_tampered_staging_is_found_before_anything_is_replaced(spark, folder, monkeypatch):
     archive(folder, "H_44_2020-2024.csv.gz", line("2023010100"), line("2024010100"))
     assert run(spark, folder).status == "synchronized"
