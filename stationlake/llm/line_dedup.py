@@ -249,8 +249,9 @@ def drop_lines(docs: DataFrame, drops: DataFrame, least_chars: int = LEAST_CHARS
     New columns: n_lines (before), n_dropped, and ``text`` holds the lines that stay.
     """
     own = [name for name in docs.columns if name not in ("n_lines", "n_dropped")]
-    whole = F.struct(*(F.col(f"`{name}`") for name in own)).alias("row")
-    known = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("own_text"), whole)
+    # Texts travel once, beside the other columns.
+    others = F.struct(*(F.col(f"`{name}`") for name in own if name != "text")).alias("row")
+    known = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce("text", F.lit("")).alias("own_text"), others)
     per_doc = drops.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("digest").alias("drops"))
     joined = known.join(per_doc, F.col("own_id") == F.col("drop_id"), "left")
     lines = F.split("own_text", "\n", -1)
