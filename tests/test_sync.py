@@ -296,3 +296,45 @@ def test_untouched_partitions_feed_dimensions(spark):
     affected = staged.select("department", "year").distinct()
     rows = audits.facts_for_dimensions(published, staged, affected).collect()
     assert sorted(r.NUM_POSTE for r in rows) == ["fresh", "old"]
+
+
+def test_tasks_of_fact_writes_are_bounded_by_rows(spark, folder, monkeypatch):
+    # Empty columns compress to nothing, so bytes of a shuffle say little about what a task sorts.
+    monkeypatch.setattr(tables, "rows_per_task", lambda: 1000)
+    filled = {
+        "department": F.lit("44"), "year": F.when(F.col("id") < 4800, 2024).otherwise(2015 + F.col("id") % 8),
+        "NUM_POSTE": F.lit("44000001"), "observation_time_utc": F.timestamp_seconds(F.col("id") * 3600),
+    }
+    facts = spark.range(0, 5000, 1, 4).select(
+        *[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fact_schema("hourly_core").fields]
+    )
+    arranged, years = tables.arrange_facts(facts)
+    sizes = [r.n for r in arranged.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert years == {2024, *range(2015, 2023)}
+    assert sum(sizes) == 5000 and len(sizes) == 5 and max(sizes) < 1500
+    assert arranged.columns == facts.columns
+    assert tables.arrange_facts(facts.where("id < 0"))[0].count() == 0
+
+
+def test_archives_of_many_gzip_members_are_read_whole(spark, folder):
+    import gzip
+
+    from stationlake.checks import jobs
+    from stationlake.sources.archives import discover_archives, read_archives
+
+    rows = spark.range(0, 3000, 1, 5).select(
+        F.lit("H_44_2020-2024.csv.gz").alias("source_file"), F.col("id").alias("place"),
+        F.concat_ws(";", F.lit("44000001"), F.col("id").cast("string")).alias("line"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        jobs._write_archives(rows, ("NUM_POSTE", "AAAAMMJJHH"), str(folder / "raw"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    path = folder / "raw/H_44_2020-2024.csv.gz"
+    assert path.read_bytes().count(b"\x1f\x8b\x08") > 1
+    with gzip.open(path, "rt") as lines:
+        assert lines.read().split() == ["NUM_POSTE;AAAAMMJJHH", *[f"44000001;{n}" for n in range(3000)]]
+    _, records = read_archives(spark, discover_archives(spark, str(folder / "raw")), str(folder / "staged"))
+    assert records.count() == 3001
