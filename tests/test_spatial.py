@@ -201,3 +201,32 @@ def test_regions_and_selection(spark, read):
     codes = spark.createDataFrame([("2A",), ("99",)], "code string")
     assert {r.code: r.region for r in spatial.region_lookup(codes, areas).collect()} == {"2A": "84", "99": None}
     assert [r.code for r in spatial.select_boundaries(areas, ["01"]).collect()] == ["01"]
+
+
+def test_children_are_judged_in_bounded_pieces_before_they_are_shuffled(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spatial, "MOST_CHILDREN", 100)
+    edge = spatial._EDGES[1]
+    cells = [[(x << 40 | y << 20 | 400) for x in range(300, 300 + n) for y in range(3)] for n in (1, 40, 10, 0, 12)]
+    lists = [[{"cell": cell, "sites": 1} for cell in row] for row in cells]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(5)), pa.array([45.0] * 5), pa.array([1.0] * 5), pa.array(lists, spark_children_type())],
+        names=["point_id", "LAT", "LON", "children"],
+    )
+    parts = list(spatial._cut(batch))
+    assert [part.column(0).to_pylist() for part in parts] == [[0], [1], [2, 3, 4]]
+    whole = [r for part in spatial._closer_cells(edge, 8)([batch]) for r in part.to_pylist()]
+    monkeypatch.setattr(spatial, "MOST_CHILDREN", 1 << 17)
+    assert whole == [r for part in spatial._closer_cells(edge, 8)([batch]) for r in part.to_pylist()]
+    points = spark.createDataFrame([(1, 45.0, 1.0)], "point_id int, LAT double, LON double")
+    sites = spark.createDataFrame([(45.1, 1.0, 1.0)], "LAT double, LON double, value double")
+    plan = spatial.candidate_cells(points, sites, 1)._jdf.queryExecution().optimizedPlan().toString()
+    # The first cubes, the children of each cube alone, and those of a point together.
+    assert plan.count("MapInArrow") == 3
+
+
+def spark_children_type():
+    import pyarrow as pa
+
+    return pa.list_(pa.struct([("cell", pa.int64()), ("sites", pa.int64())]))
