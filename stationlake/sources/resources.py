@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stationlake.functions.values import blank_to_null
 from stationlake.operators.selection import periods_overlap
+from stationlake.session import stored
 
 CATALOG = (
     "resources array<struct<id: string, title: string, url: string, format: string, type: string, "
@@ -50,10 +51,22 @@ def is_archive_resource(resources: DataFrame) -> Column:
 
 
 def parse_resources(raw: DataFrame) -> DataFrame:
-    """Catalog records as file name, department and period."""
-    named = raw.where(is_archive_resource(raw)).withColumn("filename", file_name(F.col("url"), F.col("id")))
+    """Catalog records as file name, department and period.
+
+    Patterns are slow, so records are spread over tasks first.  Names and what is found in them are generated rows:
+    a later filter or projection reads them and does not search the texts again.
+    """
+    spread = raw.where(is_archive_resource(raw)).repartition("id")
+    named = spread.select("*", F.explode(F.array(file_name(F.col("url"), F.col("id")))).alias("filename"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "filename")
-    return named.select(
+    texts = named.select("*", F.explode(F.array(text)).alias("text"))
+    found = F.struct(
+        F.upper(_first_match(F.col("text"), DEPARTMENT_PATTERNS, 1)).alias("department"),
+        _first_match(F.col("text"), PERIOD_PATTERNS, 0).alias("period"),
+    )
+    # Both years from one match: four digits at its end, and the four before the signs between them.
+    period = F.col("found.period")
+    return texts.select("*", F.explode(F.array(found)).alias("found")).select(
         F.col("id").alias("resource_id"),
         "title",
         "url",
@@ -61,9 +74,9 @@ def parse_resources(raw: DataFrame) -> DataFrame:
         "last_modified",
         F.col("filesize").alias("expected_size"),
         "filename",
-        F.upper(_first_match(text, DEPARTMENT_PATTERNS, 1)).alias("department"),
-        _first_match(text, PERIOD_PATTERNS, 1).cast("int").alias("period_start"),
-        _first_match(text, PERIOD_PATTERNS, 2).cast("int").alias("period_end"),
+        F.col("found.department").alias("department"),
+        F.regexp_extract(period, r"(\d{4})[_\s-]+\d{4}$", 1).cast("int").alias("period_start"),
+        F.right(period, F.lit(4)).cast("int").alias("period_end"),
     )
 
 
@@ -77,7 +90,10 @@ def select_resources(
     resources: DataFrame, departments: Iterable[str] | None = None,
     start_year: int | None = None, end_year: int | None = None,
 ) -> DataFrame:
-    """Resources of some departments and years, in catalog order."""
+    """Resources of some departments and years, in catalog order.
+
+    They are stored before they are sorted: a sort looks at its input twice.
+    """
     chosen = resources
     if departments:
         chosen = chosen.where(F.col("department").isin(sorted({d.upper() for d in departments})))
@@ -86,7 +102,7 @@ def select_resources(
             periods_overlap(F.col("period_start"), F.col("period_end"), start_year, end_year)
         )
     zero, blank = F.lit(0), F.lit("")
-    return chosen.orderBy(
+    return stored(chosen, "resources").orderBy(
         F.coalesce("department", blank),
         F.coalesce("period_start", zero),
         F.coalesce("period_end", zero),

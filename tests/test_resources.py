@@ -70,3 +70,24 @@ def test_states(spark, catalog, local, partial, server, status, source, mismatch
     assert (row.status, row.size_source) == (status, source)
     assert (row.catalog_mismatch, row.redundant_partial) == (mismatch, redundant)
     assert (row.remote_error is not None) == (source == "catalog" and status == "invalid")
+
+
+def test_patterns_are_searched_once(spark):
+    layout = (
+        "id string, title string, url string, format string, type string, last_modified string, filesize bigint"
+    )
+    rows = [
+        (str(n), title, f"https://files.test/H_44_{1950 + n}-{1959 + n}-x%20v1.csv.gz", "csv.gz", "main", None, 1)
+        for n, title in enumerate(["HOR_departement_35_periode_2001_-_2009", "Horaires 2A décennie 1990 1999", None])
+    ]
+    parsed = parse_resources(spark.createDataFrame(rows, layout))
+    found = {r.resource_id: (r.department, r.period_start, r.period_end, r.filename) for r in parsed.collect()}
+    assert found == {
+        "0": ("35", 2001, 2009, "H_44_1950-1959-x v1.csv.gz"), "1": ("2A", 1990, 1999, "H_44_1951-1960-x v1.csv.gz"),
+        "2": ("44", 1952, 1961, "H_44_1952-1961-x v1.csv.gz"),
+    }
+    plan = parsed.where("period_start > 1900 AND period_end < 2100")._jdf.queryExecution().optimizedPlan().toString()
+    # Once, and once more in the test for a blank match.
+    assert plan.count("UrlCodec") <= 1 and plan.count("]cennie") <= 2
+    assert select_resources(parsed, None, 1950, 1960).select("resource_id").collect() == []
+    assert [r.resource_id for r in select_resources(parsed, None, 1950, 1995).collect()] == ["1", "2"]
