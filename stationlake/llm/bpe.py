@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cached_property
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,35 +77,32 @@ def merge_match(match: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
 
-    def put(place: int, value: int) -> None:
-        node = leaves + place
-        if tree[node] == value:
-            return
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            if other < value:
-                value = other
-            node >>= 1
-            if tree[node] == value:
-                return
-            tree[node] = value
-
     while (root := tree[1]) < NOTHING:
         at = root & mask
         gone = after[at]
         after[at] = end = after[gone]
+        left, changes = before[at], []
         if gone < n - 1:
-            put(gone, NOTHING)
+            changes.append((gone, NOTHING))
         rank = None
         if end < n:
             before[end] = at
             rank = get(match[at : after[end]])
-        put(at, NOTHING if rank is None else rank << bits | at)
-        left = before[at]
+        changes.append((at, NOTHING if rank is None else rank << bits | at))
         if left >= 0:
             rank = get(match[left:end])
-            put(left, NOTHING if rank is None else rank << bits | left)
+            changes.append((left, NOTHING if rank is None else rank << bits | left))
+        for place, value in changes:
+            node = leaves + place
+            # Up to the node whose minimum stays as it is.
+            while tree[node] != value:
+                tree[node] = value
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+                if not node:
+                    break
     ids, at = [], 0
     while at < n:
         ids.append(ranks[match[at : after[at]]])
@@ -110,6 +110,29 @@ def merge_match(match: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Memo(dict):
+    """Ids of matches, packed as 32-bit numbers; an unknown match is merged when it is looked up.
+
+    Short matches are remembered in two generations: a full one replaces the older.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, match: str) -> bytes:
+        found = self.older.get(match)
+        if found is None:
+            found = np.array(merge_match(match.encode(), self.ranks), np.int32).tobytes()
+        if len(match) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[match] = found
+        return found
+
+
 class Codec:
     """Ranks, split pattern and a memo of matches; one per Python worker and vocabulary."""
 
@@ -120,8 +143,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(LATIN_PATTERN) if pattern == public_tokenizers.PATTERN else None
-        self.recent: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memo = Memo(self.ranks)
 
     @classmethod
     def of(cls, content: bytes, pattern: str) -> Codec:
@@ -139,20 +161,17 @@ class Codec:
                 pass
         return self.pattern.findall(text)
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.recent.get
-        for match in self.split(text):
-            found = known(match)
-            if found is None:
-                found = self.older.get(match) or merge_match(match.encode(), self.ranks)
-                if len(self.recent) >= MEMO_ENTRIES:
-                    self.older, self.recent = self.recent, {}
-                    known = self.recent.get
-                if len(match) <= 64:
-                    self.recent[match] = found
-            ids += found
-        return ids
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    @cached_property
+    def token_bytes(self) -> pa.Array:
+        """The bytes of every id, by id; null where there is none."""
+        return pa.array([self.tokens.get(rank) for rank in range(max(self.tokens, default=-1) + 1)], pa.binary())
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -172,14 +191,10 @@ def encode(
 
     def compute(column: pa.Array) -> list[pa.Array]:
         codec = Codec.of(content.value, pattern)
-        offsets, values = [0], pa.array([], pa.int32())
-        parts = []
-        for value in texts(column):
-            parts.append(pa.array(codec.encode(value), pa.int32()))
-            offsets.append(offsets[-1] + len(parts[-1]))
-        if parts:
-            values = pa.concat_arrays(parts)
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)]
+        parts = [codec.packed(value) for value in texts(column)]
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)]
 
     return add_columns(frame, [text], [StructField(ids, ArrayType(IntegerType()))], compute)
 
@@ -192,23 +207,22 @@ def decode(
 
     def compute(column: pa.Array) -> list[pa.Array]:
         codec = Codec.of(content.value, public_tokenizers.PATTERN)
-        flat = column.values.to_numpy()
         ends = column.offsets.to_numpy()
-        known = column.is_valid().to_numpy(zero_copy_only=False)
-        return [pa.array(
-            [
-                codec.decode(flat[ends[at] : ends[at + 1]].tolist()) if known[at] else None
-                for at in range(len(column))
-            ],
-            pa.binary(),
-        )]
+        # The tokens of a document lie behind each other, so its bytes begin where its first token does.
+        taken = codec.token_bytes.take(column.values.slice(ends[0], ends[-1] - ends[0]))
+        if taken.null_count:
+            raise KeyError("an id that the vocabulary does not have")
+        _, starts, data = taken.buffers()
+        at = np.frombuffer(starts, np.int32)[taken.offset :][ends - ends[0]] if len(taken) else np.zeros(len(ends), np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at.astype(np.int32).tobytes()), data])
+        return [pc.if_else(column.is_valid(), whole, None)]
 
     return add_columns(frame, [ids], [StructField(output, BinaryType())], compute)
 
 
 def round_trip_digests(docs: DataFrame) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to, one row per document."""
-    coded = decode(encode(docs.select("doc_id", "text"))).drop("text")
+    coded = decode(encode(docs.select("doc_id", "text")).drop("text"))
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

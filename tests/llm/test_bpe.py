@@ -45,3 +45,24 @@ def test_columns(corpus):
     assert digests[5].ids_sha256 == hashlib.sha256(ids.encode()).hexdigest()
     missing = corpus.createDataFrame([(None,)], "token_ids array<int>")
     assert bpe.decode(missing).first().decoded is None
+
+
+def test_packed_ids_through_full_memos_and_sliced_lists(corpus, monkeypatch):
+    import pyarrow as pa
+    import pytest
+
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 3)
+    codec = bpe.Codec(CONTENT, public_tokenizers.PATTERN)
+    text = " ".join(f"wörd{n % 11}x{n % 5}" for n in range(300)) + "y" * 200
+    assert codec.encode(text) == LIBRARY.encode_ordinary(text) and len(codec.memo) <= 3
+    made = {}
+    monkeypatch.setattr(bpe, "add_columns", lambda frame, inputs, fields, compute: made.update(run=compute))
+    bpe.decode(corpus.range(1))
+    words = ["", "one two", None, "漢字 é", "three", ""]
+    lists = pa.array([None if w is None else LIBRARY.encode_ordinary(w) for w in words], pa.list_(pa.int32()))
+    for start, size in ((0, 6), (1, 3), (2, 1), (4, 2), (5, 1)):
+        found = made["run"](lists.slice(start, size))[0].to_pylist()
+        assert found == [None if w is None else w.encode() for w in words[start : start + size]]
+    for bad in (1 << 30, -1):
+        with pytest.raises((KeyError, IndexError)):
+            made["run"](pa.array([[bad]], pa.list_(pa.int32())))
