@@ -154,3 +154,13 @@ def test_every_stage_equals_a_plain_version(corpus, folder):
     whole = pipeline.run(corpus, str(folder)).collect()
     assert {r.doc_id for r in whole} <= kept and all(r.text in (texts[r.doc_id], right[r.doc_id]) for r in whole)
     assert len({r.doc_id for r in whole} & clean) >= 0.9 * len(set(left) & clean)
+
+
+def test_first_stage_tells_letters_of_one_class_apart(corpus, folder):
+    chance = random.Random(13)
+    usual = ["вода", "дом", "сад", "река", "камень", "после", "долго", "и", "в", "на"]
+    texts = [" ".join(chance.choices(usual, k=chance.randint(40, 80))) for _ in range(160)]
+    strange = ["".join(chr(ord(c) + 8) if c.isalpha() else c for c in text) for text in texts[:10]]
+    make_labels(corpus, [(n, 1, 0) for n in range(140)]).write.parquet(f"{folder}/labels.parquet")
+    kept = {r.doc_id for r in pipeline.quality(corpus, make_docs(corpus, texts + strange), str(folder)).collect()}
+    assert len(kept) >= 155 and max(kept) < 160
