@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 from collections import Counter
+from functools import cache
 
 import public_tokenizers
 import tiktoken
 import xxhash
 
 import corpus_pipeline as pipeline
+from stationlake.llm import language_model as lm
 from stationlake.llm import minhash, mixing
 from stationlake.session import stored
 from tests.llm.conftest import make_docs, make_labels
@@ -164,3 +167,106 @@ def test_first_stage_tells_letters_of_one_class_apart(corpus, folder):
     make_labels(corpus, [(n, 1, 0) for n in range(140)]).write.parquet(f"{folder}/labels.parquet")
     kept = {r.doc_id for r in pipeline.quality(corpus, make_docs(corpus, texts + strange), str(folder)).collect()}
     assert len(kept) >= 155 and max(kept) < 160
+
+
+def plain_model(texts, signs, blank, size, order):
+    """Chances under interpolated modified Kneser-Ney from dictionaries, and the n-grams of a text."""
+
+    def grams(text):
+        held = [blank] * (order - 1) + signs(text)
+        return [tuple(held[n : n + order]) for n in range(len(held) - order + 1)]
+
+    counts = {order: Counter(gram for text in texts for gram in grams(text))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    cuts, totals, lefts = {}, Counter(), Counter()
+    for k, table in counts.items():
+        times = Counter(table.values())
+        y = times[1] / (times[1] + 2 * times[2]) if times[1] + 2 * times[2] else 0
+        cuts[k] = [0.0] + [min(max(n - (n + 1) * y * times[n + 1] / max(times[n], 1), 0), n) for n in (1, 2, 3)]
+        for gram, n in table.items():
+            totals[gram[:-1]] += n
+            lefts[gram[:-1]] += cuts[k][min(n, 3)]
+
+    @cache
+    def chance(gram):
+        if not gram:
+            return 1 / size
+        lower, context = chance(gram[1:]), gram[:-1]
+        if context not in totals:
+            return lower
+        n = counts[len(gram)][gram]
+        return (max(n - cuts[len(gram)][min(n, 3)], 0) + lefts[context] * lower) / totals[context]
+
+    return grams, chance
+
+
+def plain_quality(docs, labels):
+    """By document (id, language, text) whether it is kept, and how near to a limit any of them comes."""
+    good = {n for n, quality, toxic in labels if quality and not toxic}
+    held = {n for n in good if signed(xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=42)) % lm.HELD_OUT == 0}
+    taught = [text for n, _, text in docs if n in good - held]
+    kept, nearest = {n: bool(text) for n, _, text in docs}, math.inf
+    for signs, blank, size, order in (
+        (lambda text: [int(lm._SYMBOL_OF[ord(c)]) for c in text], lm._BLANK, lm.SYMBOLS, lm.ORDER),
+        (lambda text: list(text.encode()), 32, 256, lm.BYTE_ORDER),
+    ):
+        grams, chance = plain_model(taught, signs, blank, size, order)
+        found = {}
+        for n, lang, text in docs:
+            if text:
+                surprises = [-math.log(max(chance(gram), 1e-12)) for gram in grams(text)]
+                found[n] = (lang, math.fsum(surprises) / len(surprises), math.sqrt(min(len(surprises), lm.LONGEST)))
+
+        def rule(some):
+            def quantile(values, share):
+                return sorted(values)[max(math.ceil(share * len(values)), 1) - 1]
+
+            median = quantile([mean for _, mean, _ in some], 0.5)
+            low, middle, high = (quantile([(mean - median) * root for _, mean, root in some], share) for share in (0.05, 0.5, 0.95))
+            return median, middle - lm.LOW_REACH * (middle - low), middle + lm.REACH * (high - middle)
+
+        known = [found[n] for n in held if n in found]
+        for n, (lang, mean, root) in found.items():
+            own = [row for row in known if row[0] == lang]
+            median, low, high = rule(own if len(own) >= lm.FEW else known)
+            distance = (mean - median) * root
+            kept[n] &= low <= distance <= high
+            nearest = min(nearest, abs(distance - low), abs(distance - high))
+    return {n for n in kept if kept[n]}, nearest, Counter(lang for n, lang, _ in docs if n in held)
+
+
+def test_first_stage_equals_a_plain_version(corpus, folder):
+    chance = random.Random(17)
+    words = {
+        "en": ["the", "of", "and", "house", "water", "little", "garden", "stone", "river", "After", "12", "long,"],
+        "ru": ["вода", "дом", "сад", "река", "камень", "после", "долго", "и", "в", "на"],
+    }
+    docs, labels, spelled = [], [], set()
+    for n in range(300):
+        lang = "ru" if n % 6 == 5 else "en"
+        text = " ".join(chance.choices(words[lang], k=chance.randint(30, 90))) + "."
+        quality, toxic = 1, 0
+        if n % 9 == 4:
+            quality, text = 0, "".join(chance.choices("XQZ#|9~", k=300))
+        elif n % 11 == 7:
+            toxic, text = 1, text[: len(text) // 2] + " dolt" * 8 + text[len(text) // 2 :]
+        elif n % 13 == 3:
+            # Other letters of the same class, which only the model of bytes tells apart.
+            quality, text = 0, "".join(chr(ord(c) + 8) if "а" <= c <= "я" else c for c in text)
+            spelled |= {n} if lang == "ru" else set()
+        docs.append((n, lang, text))
+        if n < 260:
+            labels.append((n, quality, toxic))
+    docs += [(300, "en", None), (301, "ru", ""), (302, None, docs[0][2]), (303, "fr", docs[5][2]), (304, "en", "the " * 3000), (305, "en", "a")]
+    right, nearest, held = plain_quality(docs, labels)
+    # Both kinds of limits are used, no verdict hangs on rounding, and every kind of text is there.
+    assert held["en"] >= lm.FEW > held["ru"] > 0 and nearest > 1e-3
+    assert 200 < len(right) < 280 and {302, 303} <= right and not right & {300, 301, 304}
+    assert spelled and not right & spelled
+
+    frame = corpus.createDataFrame(docs, "doc_id long, lang string, text string").selectExpr("doc_id", "text", "lang", "'s' as source", "0L as n_chars")
+    make_labels(corpus, labels).write.parquet(f"{folder}/labels.parquet")
+    rows = pipeline.quality(corpus, frame.repartition(5), str(folder)).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and {r.doc_id for r in rows} == right
+    assert all((r.doc_id, r.lang, r.text) == docs[r.doc_id] for r in rows)
