@@ -66,26 +66,37 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return known.select(F.col("doc_id").alias("_id"), domain.alias("domain"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """Evidence for each domain by bucket, at most ``BUCKETS`` rows, from at most ``rows`` labelled ids."""
+def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, by: str | None = None) -> DataFrame:
+    """Evidence for each domain by bucket, at most ``BUCKETS`` rows, from at most ``rows`` labelled ids.
+
+    ``by`` names a column whose values (null is one) differ in their words, such as the language: what is expected of
+    a bucket is then summed over them, so that a word is no evidence for the domain that its language has more of.
+    """
     chosen = labelled_domains(labels).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    kind = (F.lit(None) if by is None else F.col(by)).cast("string")
     # The sample is bounded by ``rows``, so it can be broadcast whatever the size of the input.
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = known.select("domain", F.explode(words(F.col("text"))).alias("_word"))
+    known = docs.select("doc_id", kind.alias("_kind"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    found = known.select("domain", "_kind", F.explode(words(F.col("text"))).alias("_word"))
     both = F.array(_word_bucket(F.col("_word")), _ending_bucket(F.col("_word")))
-    found = found.select("domain", F.explode(both).alias("bucket"))
+    found = found.select("domain", "_kind", F.explode(both).alias("bucket"))
     counted = stored(
-        found.groupBy("bucket").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), "mix-counts"
+        found.groupBy("bucket", "_kind").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS)), "mix-counts"
+    )
+    seen = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
+    sums = counted.groupBy(F.col("_kind").alias("_of")).agg(*(F.sum(d).alias(f"all_{d}") for d in DOMAINS), F.sum(seen).alias("all"))
+    everything = counted.agg(F.sum(seen)).first()[0] or 1.0
+    # What a domain would hold of a bucket, were its words in each kind those of all documents of the kind.
+    parts = counted.join(sums, F.col("_kind").eqNullSafe(F.col("_of")))
+    compared = parts.groupBy("bucket").agg(
+        *(F.sum(d).alias(d) for d in DOMAINS), (F.sum(seen) / float(everything)).alias("share"),
+        *(F.sum(seen / F.col("all") * F.col(f"all_{d}")).alias(f"expected_{d}") for d in DOMAINS),
     )
-    sums = counted.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DOMAINS)).first()
-    everything = float(sum(sums)) or 1.0
-    share = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0])) / everything
     evidence, clear = {}, F.lit(False)
     for domain in DOMAINS:
-        expected = share * float(sums[domain])
+        expected, prior = F.col(f"expected_{domain}"), PRIOR_WORDS * F.col("share")
         clear = clear | (F.abs(F.col(domain) - expected) > CLEAR * F.sqrt(expected))
-        evidence[domain] = F.log((F.col(domain) + PRIOR_WORDS * share) / ((float(sums[domain]) + PRIOR_WORDS) * share))
-    return counted.where(clear).select("bucket", *(e.alias(d) for d, e in evidence.items()))
+        evidence[domain] = F.log((F.col(domain) + prior) / (expected + prior))
+    return compared.where(clear).select("bucket", *(e.alias(d) for d, e in evidence.items()))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, evidence: DataFrame) -> DataFrame:

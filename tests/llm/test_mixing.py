@@ -159,3 +159,34 @@ def test_misses_are_returned(corpus):
     for domain, target in (("good", 1.0), ("poor", 0.25), ("toxic", 0.1)):
         assert abs(rows[0][f"miss_{domain}"] - (rows[0].rate - target)) < 1e-6
     assert max(abs(rows[0][f"miss_{d}"]) for d in mx.DOMAINS) > 0.1
+
+
+def test_evidence_by_language_equals_a_plain_computation(corpus):
+    chance = random.Random(4)
+    own = {"en": [f"e{n}" for n in range(30)], "de": [f"d{n}" for n in range(30)], None: ["e1", "d1", "x"]}
+    rows, labels, kinds = [], [], {}
+    for n in range(240):
+        lang = ("en", "en", "de", None)[n % 4]
+        # Most toxic documents are in one language.
+        kinds[n] = "poor" if n % 9 == 4 else "toxic" if chance.random() < (0.6 if lang == "de" else 0.1) else "good"
+        words = chance.choices(own[lang] + ["both"], k=40) + {"toxic": ["dolt"] * 3, "poor": ["!!"] * 3, "good": []}[kinds[n]]
+        rows.append((n, " ".join(words), lang))
+        labels.append((n, int(kinds[n] != "poor"), int(kinds[n] == "toxic")))
+    docs, known = corpus.createDataFrame(rows, "doc_id long, text string, lang string"), make_labels(corpus, labels)
+    counts, kept = Counter(), {}
+    for n, text, lang in rows:
+        counts.update((b, lang, kinds[n]) for w in plain_words(text) for b in (plain_bucket(w, 0), plain_bucket(w[-2:], 24)))
+    of = {(lang, d): sum(c for (_, at, e), c in counts.items() if (at, e) == (lang, d)) for lang in own for d in mx.DOMAINS}
+    size = {lang: sum(of[lang, d] for d in mx.DOMAINS) for lang in own}
+    for bucket in {b for b, _, _ in counts}:
+        seen = {lang: sum(counts[bucket, lang, d] for d in mx.DOMAINS) for lang in own}
+        prior = mx.PRIOR_WORDS * sum(seen.values()) / sum(size.values())
+        held = {d: sum(counts[bucket, lang, d] for lang in own) for d in mx.DOMAINS}
+        expected = {d: sum(seen[lang] / size[lang] * of[lang, d] for lang in own) for d in mx.DOMAINS}
+        if any(abs(held[d] - expected[d]) > mx.CLEAR * math.sqrt(expected[d]) for d in mx.DOMAINS):
+            kept[bucket] = {d: math.log((held[d] + prior) / (expected[d] + prior)) for d in mx.DOMAINS}
+    found = {r.bucket: r for r in mx.fit_classifier(docs, known, by="lang").collect()}
+    assert found.keys() == kept.keys() and all(abs(found[b][d] - kept[b][d]) < 1e-9 for b in kept for d in mx.DOMAINS)
+    words = {plain_bucket(w, 0) for w in own["de"]}
+    assert not words & found.keys() and len(words & {r.bucket for r in mx.fit_classifier(docs, known).collect()}) > 20
+    assert {plain_bucket("dolt", 0), plain_bucket("!!", 0)} <= found.keys()

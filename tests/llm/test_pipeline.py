@@ -270,3 +270,30 @@ def test_first_stage_equals_a_plain_version(corpus, folder):
     rows = pipeline.quality(corpus, frame.repartition(5), str(folder)).collect()
     assert len(rows) == len({r.doc_id for r in rows}) and {r.doc_id for r in rows} == right
     assert all((r.doc_id, r.lang, r.text) == docs[r.doc_id] for r in rows)
+
+
+def test_mixing_takes_no_language_for_a_domain(corpus, folder):
+    chance = random.Random(23)
+    words = {
+        "en": ["the", "of", "and", "house", "water", "little", "garden", "stone", "river", "after"],
+        "de": ["der", "und", "nicht", "haus", "wasser", "klein", "garten", "stein", "fluss", "nach"],
+    }
+    docs, labels, toxic = [], [], set()
+    for n in range(400):
+        lang = "de" if n % 4 == 1 else "en"
+        text = " ".join(chance.choices(words[lang], k=chance.randint(40, 80)))
+        if n % 5 == 2:
+            toxic.add(n)
+            text += " dolt oaf dolt"
+        docs.append((n, lang, text))
+        labels.append((n, 1, int(n in toxic)))
+    frame = corpus.createDataFrame(docs, "doc_id long, lang string, text string").selectExpr("doc_id", "text", "lang", "'s' as source", "0L as n_chars")
+    frame.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    make_labels(corpus, labels).write.parquet(f"{folder}/labels.parquet")
+    # What stages before may leave: toxic documents in one language only, and few enough that the other words of that language stand out.
+    left = frame.where("lang = 'de' OR doc_id % 5 <> 2")
+    kept = {r.doc_id for r in pipeline.mixture(corpus, left, str(folder)).collect()}
+    for lang in words:
+        clean = {n for n, of, _ in docs if of == lang and n not in toxic}
+        assert len(kept & clean) >= 0.95 * len(clean)
+    assert len(kept & toxic) <= 0.3 * sum(docs[n][1] == "de" for n in toxic)
